@@ -11,7 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 SOURCE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
+_registered: dict[str, str] = {}
+
+
 def read_tables(spark: SparkSession, sf_dir: str) -> None:
+    """Views ``tm_*`` over the tables of ``sf_dir``; made anew only when the folder changes."""
+    session = spark.sparkContext.applicationId
+    if _registered.get(session) == sf_dir and spark.catalog.tableExists("tm_lineitem"):
+        return
+    _registered[session] = sf_dir
     cores = spark.sparkContext.defaultParallelism
     for name in SOURCE_TABLES:
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -89,7 +97,7 @@ BROKEN_GEOMETRY = (
 )
 
 
-def base(scale: str = "40", where: str = "", y: str | None = None) -> str:
+def base(scale: str = "40", where: str = "", y: str | None = None, height: str = "20") -> str:
     """Line items with a place (x, y) and an extent (w, h), all whole metres."""
     yi = y or "CASE WHEN s_nationkey = 24 THEN 7640000 ELSE 6500000 END + (l_suppkey % 100) * 1000"
     return f"""SELECT *, cast(xi as string) AS x, cast(yi as string) AS y, cast(xi+w as string) AS x2,
@@ -98,7 +106,7 @@ def base(scale: str = "40", where: str = "", y: str | None = None) -> str:
  SELECT l.*, o_orderdate, o_orderpriority, p_type, p_brand, s_name, n_name, s_nationkey,
   CASE WHEN s_nationkey = 24 THEN 330000 ELSE 400000 END + (l_partkey % 400) * 100 AS xi,
   {yi} AS yi,
-  cast(l_quantity as int) * {scale} AS w, cast(l_quantity as int) * 20 AS h
+  cast(l_quantity as int) * {scale} AS w, cast(l_quantity as int) * {height} AS h
  FROM @lineitem l JOIN @orders ON l_orderkey = o_orderkey JOIN @part ON l_partkey = p_partkey
   JOIN @supplier ON l_suppkey = s_suppkey JOIN @nation ON s_nationkey = n_nationkey {where})"""
 
@@ -114,14 +122,16 @@ _LASTING = """l_linestatus AS cat, p_brand AS sscat,
  CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE concat(cast(cast(l_quantity as int) as string), ' an(s)') END AS duree"""
 
 
-def first_publisher(geometry: str = GEOMETRY, extra: str = "", y: str | None = None) -> str:
+def first_publisher(
+    geometry: str = GEOMETRY, extra: str = "", y: str | None = None, scale: str = "40", height: str = "20"
+) -> str:
     """Array literals, two entries per measure, raw projection."""
     return f"""SELECT {_COMMON},
  CASE WHEN l_suppkey % 11 = 0 THEN '{{NULL}}' WHEN l_suppkey % 5 = 0 THEN concat('{{"', n_name, ' A","', n_name, ' B"}}') ELSE concat('{{', n_name, '}}') END AS communes,
  {_DATED}, l_returnflag AS type, {_LASTING},
  CASE WHEN l_suppkey % 3 = 0 THEN '{{ONAGRE,ONAGRE}}' WHEN l_suppkey % 3 = 1 THEN '{{S3IC,ONAGRE}}' ELSE NULL END AS si_metier,
  CASE WHEN l_suppkey % 3 = 0 THEN concat('{{', k, ',', k, '}}') WHEN l_suppkey % 3 = 1 THEN concat('{{', k, ',Z', k, '}}') ELSE NULL END AS numero_dossier,
- {geometry} AS geometry{extra} FROM ({base(y=y)})"""
+ {geometry} AS geometry{extra} FROM ({base(scale, y=y, height=height)})"""
 
 
 def second_publisher(geometry: str = GEOMETRY, extra: str = "", y: str | None = None) -> str:
@@ -142,6 +152,9 @@ def second_publisher(geometry: str = GEOMETRY, extra: str = "", y: str | None =
 # Line numbers, extents and place next to the delivered columns: what checks compute from.
 GENERATOR_COLUMNS = ", l_linenumber, l_partkey, l_suppkey, s_nationkey, xi, yi, w, h"
 
+# Extents ten times as large, so that shapes are wider than some pixels at all zooms.
+WIDE = {"scale": "400", "height": "200"}
+
 # A territory that grows with the data: each order has a strip of its own, next strips overlap.
 GROWING_TERRITORY = "6500000 + l_orderkey * 500"
 
@@ -233,8 +246,20 @@ UNION ALL SELECT o_orderkey, 1, concat('M', cast(o_orderkey as string)) FROM @or
 }
 
 
+class _Business(dict):
+    """Business tables, each built when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self._from = (spark, sf_dir)
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = sample(*self._from, BUSINESS[name])
+        return self[name]
+
+
 def business(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: sample(spark, sf_dir, sql) for name, sql in BUSINESS.items()}
+    return _Business(spark, sf_dir)
 
 
 def business_with() -> str:

@@ -48,12 +48,11 @@ def _place_cell() -> Column:
 def write_deliveries(measures: DataFrame, root: str) -> None:
     """Replace the deliveries that ``measures`` holds and leave all others as they are.
 
-    Rows are ranged by place inside each delivery, so the box statistics of files and row
-    groups can be used to skip them; the number breaks ties, so a crowded place is split."""
+    Rows are written where they are, without a shuffle, sorted by place inside each task: the
+    box statistics of row groups and pages can then be used to skip them."""
     cell = "_cell"
     (
         measures.withColumn(cell, F.coalesce(_place_cell(), F.lit(-1)))
-        .repartitionByRange(*PARTITION_COLUMNS, cell, "num")
         .sortWithinPartitions(*PARTITION_COLUMNS, cell, "num")
         .drop(cell)
         .write.mode("overwrite")
@@ -63,6 +62,23 @@ def write_deliveries(measures: DataFrame, root: str) -> None:
     )
 
 
+def cluster_deliveries(table: DataFrame, root: str) -> None:
+    """Rewrite deliveries to another root so that whole files hold one region each. Rows are
+    ranged by place; the number breaks ties, so a crowded place is split over files."""
+    cell = "_cell"
+    order = [*PARTITION_COLUMNS, cell, "num", "md5"]
+    (
+        table.withColumn(cell, F.coalesce(_place_cell(), F.lit(-1)))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .drop(cell)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*PARTITION_COLUMNS)
+        .parquet(root)
+    )
+
+
 def read_deliveries(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(MEASURE_TABLE).parquet(root)
 
