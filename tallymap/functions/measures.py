@@ -85,7 +85,16 @@ def geodesic_area(geom: Column) -> Column:
                 F.radians(p["x"]).alias("lon"), (_authalic_q(F.sin(F.radians(p["y"]))) / q_pole).alias("s")
             ),
         )
-        strips = bind(bands, lambda b: total(segments(b, lambda u, v: (v["lon"] - u["lon"]) * (u["s"] + v["s"]))))
+        # Heights are taken from the first position: the longitudes of a ring add up to nothing, so
+        # the sum is the same and small rings do not drown in the distance to the equator.
+        strips = bind(
+            bands,
+            lambda b: total(
+                segments(
+                    b, lambda u, v: (v["lon"] - u["lon"]) * ((u["s"] - b[0]["s"]) + (v["s"] - b[0]["s"]))
+                )
+            ),
+        )
         return F.abs(strips) / 2 * radius2
 
     return _over_parts(geom, "A", _less_holes(ring_area))

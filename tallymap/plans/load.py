@@ -13,48 +13,80 @@ from tallymap.functions import measures as m
 from tallymap.functions import text
 from tallymap.operators.numbering import dense_number
 from tallymap.schema import ARRAY_ATTRIBUTES, MEASURE_TABLE, TEXT_ATTRIBUTES
+from tallymap.session import built_once
 
-PLANAR: tuple[Callable[[Column], Column], Callable[[Column], Column]] = (m.planar_area, m.planar_length)
-GEODESIC = (m.geodesic_area, m.geodesic_length)
+METHODS: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]] = {
+    "planar": (m.planar_area, m.planar_length),
+    "geodesic": (m.geodesic_area, m.geodesic_length),
+}
+
+
+@built_once
+def _geometry(column: str) -> Column:
+    return g.parse_geojson(F.col(column))
+
+
+@built_once
+def _shape_columns() -> dict[str, Column]:
+    geom = F.col("geom")
+    return {
+        "geom_type": geom["type"],
+        "geom_md5": g.shape_digest(geom),
+        "signature": g.member_signature(geom),
+        "n_positions": g.count_positions(geom),
+        "n_points": g.count_points(geom),
+    }
+
+
+@built_once
+def _measure_columns(method: str) -> dict[str, Column]:
+    area, length = METHODS[method]
+    return {"area_m2": area(F.col("geom")), "length_m": length(F.col("geom"))}
+
+
+@built_once
+def _repair_columns() -> tuple[Column, Column]:
+    return crs.repair_case(F.col("geom")), crs.repair_projection(F.col("geom"), F.col("repair_case"))
+
+
+@built_once
+def _pair_columns() -> tuple[Column, dict[str, Column]]:
+    pairs = text.unique_pairs(F.col("si_metier"), F.col("numero_dossier"))
+    return pairs, {c: F.col(f"_pairs.{c}") for c in ("si_metier", "numero_dossier")}
+
+
+@built_once
+def _standard_values() -> dict[str, Column]:
+    values = {c: text.blank_to_null(F.col(c)) for c in TEXT_ATTRIBUTES}
+    values["communes"] = text.parse_array(values["communes"])
+    values["date_decision"] = F.to_date(values["date_decision"])
+    values["bbox"] = g.geometry_box(F.col("geom"))
+    return values
 
 
 def with_geometry(rows: DataFrame, column: str = "geometry") -> DataFrame:
     """Add the canonical geometry ``geom`` of a GeoJSON text column."""
-    return rows.withColumn("geom", g.parse_geojson(F.col(column)))
+    return rows.withColumn("geom", _geometry(column))
 
 
 def with_shape(rows: DataFrame) -> DataFrame:
     """Add what is known of a shape without its projection: type, digest, counts, members."""
-    geom = F.col("geom")
-    return rows.select(
-        "*",
-        geom["type"].alias("geom_type"),
-        g.shape_digest(geom).alias("geom_md5"),
-        g.member_signature(geom).alias("signature"),
-        g.count_positions(geom).alias("n_positions"),
-        g.count_points(geom).alias("n_points"),
-    )
+    return rows.withColumns(_shape_columns())
 
 
 def with_measures(rows: DataFrame, method: str = "planar") -> DataFrame:
-    area, length = PLANAR if method == "planar" else GEODESIC
-    return rows.withColumn("area_m2", area(F.col("geom"))).withColumn("length_m", length(F.col("geom")))
+    return rows.withColumns(_measure_columns(method))
 
 
 def with_repaired_projection(rows: DataFrame) -> DataFrame:
     """Geometry in longitude and latitude, with the case that was found."""
-    cased = rows.withColumn("repair_case", crs.repair_case(F.col("geom")))
-    return cased.withColumn("geom", crs.repair_projection(F.col("geom"), F.col("repair_case")))
+    case, repaired = _repair_columns()
+    return rows.withColumn("repair_case", case).withColumn("geom", repaired)
 
 
 def with_unique_pairs(rows: DataFrame) -> DataFrame:
-    pairs = text.unique_pairs(F.col("si_metier"), F.col("numero_dossier"))
-    return (
-        rows.withColumn("_pairs", pairs)
-        .withColumn("si_metier", F.col("_pairs.si_metier"))
-        .withColumn("numero_dossier", F.col("_pairs.numero_dossier"))
-        .drop("_pairs")
-    )
+    pairs, columns = _pair_columns()
+    return rows.withColumn("_pairs", pairs).withColumns(columns).drop("_pairs")
 
 
 def with_feed_syntax(features: DataFrame) -> DataFrame:
@@ -81,17 +113,8 @@ def standard_rows(rows: DataFrame, source: str, date: str, georef: str, method:
         placed = with_repaired_projection(shaped)
     if method == "geodesic":
         placed = with_measures(placed, "geodesic")
-    values = {c: text.blank_to_null(F.col(c)) for c in TEXT_ATTRIBUTES}
-    values["communes"] = text.parse_array(values["communes"])
-    values["date_decision"] = F.to_date(values["date_decision"])
-    standard = placed.withColumns(values).withColumns(
-        {
-            "bbox": g.geometry_box(F.col("geom")),
-            "source": F.lit(source),
-            "delivery_date": F.lit(date),
-            "georef": F.lit(georef),
-        }
-    )
+    named = {"source": F.lit(source), "delivery_date": F.lit(date), "georef": F.lit(georef)}
+    standard = placed.withColumns({**_standard_values(), **named})
     return standard.select(*(F.col(f.name).cast(f.dataType) for f in MEASURE_TABLE.fields))
 
 

@@ -118,8 +118,13 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def broken_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = st.sample(spark, sf_dir, st.first_publisher(geometry=st.BROKEN_GEOMETRY))
-    return load.with_measures(load.with_shape(load.with_geometry(rows)))
+    """The first delivery with broken shapes, parsed and measured, written once."""
+
+    def write(path: str) -> None:
+        rows = st.sample(spark, sf_dir, st.first_publisher(geometry=st.BROKEN_GEOMETRY))
+        load.with_measures(load.with_shape(load.with_geometry(rows))).write.parquet(path)
+
+    return spark.read.parquet(_once(spark, sf_dir, "broken", write))
 
 
 def audited(spark: SparkSession, sf_dir: str, dossiers: bool = False) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,3 +56,19 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def built_once(build: Callable) -> Callable:
+    """Keep what ``build`` returns per running context and arguments. Large expressions take
+    thousands of calls into the JVM to build and can be used again in any plan."""
+    kept: dict[tuple, object] = {}
+
+    @functools.wraps(build)
+    def wrapper(*args):
+        context = SparkContext._active_spark_context
+        key = (context.applicationId if context else None, *args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return wrapper
