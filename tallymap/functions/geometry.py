@@ -12,11 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallymap.schema import BOX, GEOM, GEOMETRY_TYPES, PART
+from tallymap.schema import GEOMETRY_TYPES, PART
 
 _DOC = "type string, coordinates string, geometries array<struct<type:string, coordinates:string>>"
 _PARTS = f"array<{PART.simpleString()}>"
-_BOX = BOX.simpleString()
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -71,7 +70,7 @@ def _member_parts(m: Column, index: Column) -> Column:
         )
         .when(kind == "MultiPolygon", F.transform(nested(4), lambda c: part("A", F.transform(c, line))))
     )
-    return F.coalesce(parts.cast(_PARTS), F.array().cast(_PARTS))
+    return F.coalesce(parts, F.array().cast(_PARTS))
 
 
 def parse_geojson(text: Column) -> Column:
@@ -86,7 +85,7 @@ def parse_geojson(text: Column) -> Column:
             F.struct(doc["type"].alias("type"), F.flatten(F.transform(members, _member_parts)).alias("parts")),
         )
 
-    return bind(F.from_json(text, _DOC), build).cast(GEOM)
+    return bind(F.from_json(text, _DOC), build)
 
 
 # ---- back to text -----------------------------------------------------------------------
@@ -145,12 +144,13 @@ def map_positions(geom: Column, f: Callable[[Column], Column]) -> Column:
     """The geometry with ``f`` applied to each position."""
 
     def part(p: Column) -> Column:
-        return _part(
-            p["member"], p["member_type"], "", F.transform(p["rings"], lambda r: F.transform(r, f))
-        ).withField("kind", p["kind"])
+        return F.struct(
+            *(p[c].alias(c) for c in ("member", "member_type", "kind")),
+            F.transform(p["rings"], lambda r: F.transform(r, f)).alias("rings"),
+        )
 
     moved = F.struct(geom["type"].alias("type"), F.transform(geom["parts"], part).alias("parts"))
-    return F.when(geom.isNotNull(), moved).cast(GEOM)
+    return F.when(geom.isNotNull(), moved)
 
 
 def round_positions(geom: Column, digits: int) -> Column:
@@ -216,7 +216,7 @@ def box_of_positions(items: Column) -> Column:
             F.greatest(acc["ymax"], p["y"]),
         ),
     )
-    return F.when(F.size(items) > 0, folded).cast(_BOX)
+    return F.when(F.size(items) > 0, folded)
 
 
 def geometry_box(geom: Column) -> Column:

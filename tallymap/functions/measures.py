@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymap.functions.crs import ECCENTRICITY, FLATTENING, MAJOR_AXIS
 from tallymap.functions.geometry import bind, positions, total
-from tallymap.schema import GEOM, POSITION
+from tallymap.schema import POSITION
 
 _RING = f"array<{POSITION.simpleString()}>"
 
@@ -243,4 +243,4 @@ def repair_shape(geom: Column) -> Column:
 
     parts = F.transform(geom["parts"], lambda p: p.withField("rings", rings(p)))
     kept = F.filter(parts, lambda p: F.size(F.coalesce(p["rings"], F.array().cast(f"array<{_RING}>"))) > 0)
-    return F.when(F.size(kept) > 0, geom.withField("parts", kept)).cast(GEOM)
+    return F.when(F.size(kept) > 0, geom.withField("parts", kept))

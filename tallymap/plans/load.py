@@ -21,6 +21,10 @@ METHODS: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]
 }
 
 
+# Columns that are built in their final type: casting would copy them for a nullability flag.
+NESTED = ("communes", "geom", "bbox")
+
+
 @built_once
 def _geometry(column: str) -> Column:
     return g.parse_geojson(F.col(column))
@@ -115,7 +119,9 @@ def standard_rows(rows: DataFrame, source: str, date: str, georef: str, method:
         placed = with_measures(placed, "geodesic")
     named = {"source": F.lit(source), "delivery_date": F.lit(date), "georef": F.lit(georef)}
     standard = placed.withColumns({**_standard_values(), **named})
-    return standard.select(*(F.col(f.name).cast(f.dataType) for f in MEASURE_TABLE.fields))
+    return standard.select(
+        *(F.col(f.name) if f.name in NESTED else F.col(f.name).cast(f.dataType) for f in MEASURE_TABLE.fields)
+    )
 
 
 def load_table(

@@ -362,7 +362,7 @@ _DOUBLE = "(ln = 3 AND geometry IS NOT NULL AND l_partkey % 13 <> 0 AND l_partke
 
 
 def _rule(name: str, test: str) -> str:
-    return f"SELECT '{name}' AS rule, count_if({test}) AS violations FROM fv"
+    return f"SELECT '{name}' AS rule, count_if({test})::BIGINT AS violations FROM fv"
 
 
 # ---- business ---------------------------------------------------------------------------
@@ -406,7 +406,7 @@ _FEED_LIST_TEXT = ", ".join(f"{c}::VARCHAR AS {c}" if c == "date_decision" else
 def _attribute(name: str, x: str, y: str, form: str) -> str:
     left = f"(SELECT DISTINCT projet, ({x})::VARCHAR AS v FROM fa)"
     right = f"(SELECT DISTINCT projet, ({y})::VARCHAR AS v FROM fb)"
-    return f"""SELECT '{name}' AS attribute, count(*) AS projects, count_if(oa > 0 OR ob > 0) AS projects_differing, sum(oa)::BIGINT AS values_only_a,
+    return f"""SELECT '{name}' AS attribute, count(*) AS projects, count_if(oa > 0 OR ob > 0)::BIGINT AS projects_differing, sum(oa)::BIGINT AS values_only_a,
  sum(ob)::BIGINT AS values_only_b, '{form}' AS form FROM (SELECT projet, count_if(ia AND ib IS NULL) AS oa, count_if(ib AND ia IS NULL) AS ob, count(ia) AS na, count(ib) AS nb
  FROM (SELECT coalesce(l.projet, q.projet) AS projet, l.ia, q.ib FROM (SELECT *, true AS ia FROM {left}) l
   FULL JOIN (SELECT *, true AS ib FROM {right}) q ON l.projet = q.projet AND l.v IS NOT DISTINCT FROM q.v) GROUP BY projet) WHERE na > 0 AND nb > 0"""
@@ -479,7 +479,7 @@ ORACLE: dict[str, str] = {
     "write_geojson": f"WITH {A} SELECT projet, geom_type, count(*) AS features, sum(n_positions)::BIGINT AS positions FROM a WHERE geometry IS NOT NULL GROUP BY ALL",
     "write_csv_report": f"WITH {BIZ} {_YEARS}",
     "table_profile": f"WITH {FA} " + " UNION ALL ".join(
-        f"SELECT {i}::BIGINT AS position, '{n}' AS name, '{t}' AS data_type, {str(geo).lower()} AS is_geometry, count(*) AS n_rows, count_if({n} IS NULL) AS n_nulls FROM fa"
+        f"SELECT {i}::BIGINT AS position, '{n}' AS name, '{t}' AS data_type, {str(geo).lower()} AS is_geometry, count(*) AS n_rows, count_if({n} IS NULL)::BIGINT AS n_nulls FROM fa"
         for i, (n, t, geo) in enumerate(_PROFILE, start=1)
     ),
     "parse_pg_array": f"""WITH {FA} SELECT mesure_id, CASE WHEN l_suppkey % 11 <> 0 AND l_suppkey % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS n,
@@ -583,11 +583,11 @@ ORACLE: dict[str, str] = {
     "delivery_stats": f"WITH {D} SELECT source, delivery_date, georef, count(*) AS nbre, round(sum(area_m2) / 10000, 6) AS area_ha, round(sum(length_m) / 1000, 6) AS length_km FROM d GROUP BY ALL",
     "point_census": f"WITH {D} SELECT source, delivery_date, georef, coalesce(sum(n_points), 0)::BIGINT AS nb_points FROM d GROUP BY ALL",
     "collection_signatures": f"WITH {D} SELECT source, delivery_date, georef, signature, count(*) AS nbre FROM d WHERE signature IS NOT NULL GROUP BY ALL",
-    "collection_pivot": f"""WITH {D} SELECT source, delivery_date, count(*) AS nb_collections, nullif(count_if(signature = 'LineStringPointPolygon'), 0) AS pls, nullif(count_if(signature = 'LineStringPolygon'), 0) AS ls,
- nullif(count_if(signature = 'PointPolygon'), 0) AS ps, nullif(count_if(signature = 'LineStringPoint'), 0) AS pl FROM d WHERE signature IS NOT NULL AND georef = 'direct' GROUP BY ALL""",
-    "stats_pivot": f"""WITH {D} SELECT source, delivery_date, count_if(georef = 'direct') AS nbre_direct, round(sum(area_m2) FILTER (georef = 'direct') / 10000) AS area_ha,
+    "collection_pivot": f"""WITH {D} SELECT source, delivery_date, count(*) AS nb_collections, nullif(count_if(signature = 'LineStringPointPolygon')::BIGINT, 0) AS pls, nullif(count_if(signature = 'LineStringPolygon')::BIGINT, 0) AS ls,
+ nullif(count_if(signature = 'PointPolygon')::BIGINT, 0) AS ps, nullif(count_if(signature = 'LineStringPoint')::BIGINT, 0) AS pl FROM d WHERE signature IS NOT NULL AND georef = 'direct' GROUP BY ALL""",
+    "stats_pivot": f"""WITH {D} SELECT source, delivery_date, count_if(georef = 'direct')::BIGINT AS nbre_direct, round(sum(area_m2) FILTER (georef = 'direct') / 10000) AS area_ha,
  round(sum(length_m) FILTER (georef = 'direct') / 1000) AS length_km, coalesce(sum(n_points) FILTER (georef = 'direct'), 0)::BIGINT AS nb_points,
- count_if(georef = 'commune') AS nbre_commune, coalesce(sum(n_points) FILTER (georef = 'commune'), 0)::BIGINT AS nb_points_commune FROM d GROUP BY ALL""",
+ count_if(georef = 'commune')::BIGINT AS nbre_commune, coalesce(sum(n_points) FILTER (georef = 'commune'), 0)::BIGINT AS nb_points_commune FROM d GROUP BY ALL""",
     "aggregate_by_project": f"WITH {A} SELECT projet, round(sum(area_m2) / 10000, 6) AS area_ha, round(sum(length_m) / 1000, 6) AS length_km FROM a GROUP BY ALL",
     "aggregate_by_project_communes": f"WITH {TOWNS} SELECT projet, communes, round(sum(area_m2) / 10000, 6) AS area_ha, round(sum(length_m) / 1000, 6) AS length_km FROM ta GROUP BY ALL",
     "total_measures": f"WITH {A} SELECT round(sum(area_m2) / 10000, 6) AS area_ha, round(sum(length_m) / 1000, 6) AS length_km FROM a",
