@@ -104,23 +104,20 @@ def rows_of_fingerprints(a: DataFrame, differing: DataFrame) -> DataFrame:
 
 
 def attribute_values(
-    measures: DataFrame, attributes: dict[str, Column], key: str = "projet"
+    measures: DataFrame, attributes: dict[str, Column], key: str, side: int
 ) -> DataFrame:
-    """One row per (key, attribute, value) with its number of rows.
-
-    Whole rows are counted first, so copies are folded before they are unpivoted.
-    """
-    copies = measures.select(key, *(c.cast("string").alias(n) for n, c in attributes.items()))
-    folded = copies.groupBy(*copies.columns).agg(F.count(F.lit(1)).alias("_n"))
+    """The distinct (key, attribute, value), with the side they stand on. The cells of a row are
+    folded in the task that reads them, so only distinct ones are shuffled."""
     cells = F.explode(
         F.array(
-            *(F.struct(F.lit(n).alias("attribute"), F.col(n).alias("value")) for n in attributes)
+            *(F.struct(F.lit(n).alias("attribute"), c.cast("string").alias("value")) for n, c in attributes.items())
         )
     )
     return (
-        folded.select(key, "_n", cells.alias("c"))
-        .groupBy(key, F.col("c.attribute").alias("attribute"), F.col("c.value").alias("value"))
-        .agg(F.sum("_n").alias("n"))
+        measures.select(key, cells.alias("c"))
+        .select(key, "c.attribute", "c.value")
+        .distinct()
+        .withColumn("side", F.lit(side))
     )
 
 
@@ -129,9 +126,7 @@ def compare_attributes(
 ) -> DataFrame:
     """Per attribute: in how many projects of both sides the sets of values differ, and how many
     values stand on one side only. One aggregation instead of a pairing of rows."""
-    sides = attribute_values(a, a_columns, key).select(key, "attribute", "value", F.lit(1).alias("side")).unionByName(
-        attribute_values(b, b_columns, key).select(key, "attribute", "value", F.lit(2).alias("side"))
-    )
+    sides = attribute_values(a, a_columns, key, 1).unionByName(attribute_values(b, b_columns, key, 2))
     values = sides.groupBy(key, "attribute", "value").agg(F.sum("side").alias("sides"))
     projects = values.groupBy(key, "attribute").agg(
         F.count_if(F.col("sides") == 1).alias("only_a"),

@@ -76,13 +76,11 @@ def loaded_second(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loaded_by_commune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load.load_table(
-        st.sample(spark, sf_dir, st.by_commune()), FIRST, DATE, "commune", method="planar"
-    ).unionByName(
-        load.load_table(
-            st.sample(spark, sf_dir, st.by_commune(dropped=True)), SECOND, DATE, "commune", method="planar"
-        )
-    )
+    def loaded(source: str, dropped: bool) -> DataFrame:
+        rows = st.spread_few_files(st.sample(spark, sf_dir, st.by_commune(dropped)), "mesure_id")
+        return load.load_table(rows, source, DATE, "commune", method="planar")
+
+    return loaded(FIRST, False).unionByName(loaded(SECOND, True))
 
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:

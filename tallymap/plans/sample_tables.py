@@ -20,15 +20,19 @@ def read_tables(spark: SparkSession, sf_dir: str) -> None:
     if _registered.get(session) == sf_dir and spark.catalog.tableExists("tm_lineitem"):
         return
     _registered[session] = sf_dir
-    cores = spark.sparkContext.defaultParallelism
     for name in SOURCE_TABLES:
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        # One small file is one task; large tables come in many files and are left as they lie.
-        if name == "lineitem" and len(df.inputFiles()) < cores:
-            df = df.repartition(cores, "l_orderkey", "l_partkey", "l_suppkey")
+        if name == "lineitem":
+            df = spread_few_files(df, "l_orderkey", "l_partkey", "l_suppkey")
         df.createOrReplaceTempView(f"tm_{name}")
 
 
+def spread_few_files(df: DataFrame, *keys: str) -> DataFrame:
+    """One small file is one task; large tables come in many files and are left as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+
+
 def sample(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run one of the texts below over the tables of ``sf_dir``."""
     read_tables(spark, sf_dir)
