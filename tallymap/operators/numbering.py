@@ -1,8 +1,11 @@
 """Running numbers and running sums over a whole table without a one-task window.
 
-The rows are range-partitioned, sorted and written once to the shared folder. A file's
-rows then have a fixed place, so a number is the file's offset plus the row's index in
-its file; only one row per file goes through an ordered window.
+The rows are written to the shared folder, range-partitioned, sorted and written in order.
+A file's rows then have a fixed place, so a number is the file's offset plus the row's index
+in its file; only one row per file goes through an ordered window. Rows that are equal in the
+given order are told apart by where they lie in the first written form, so a group of copies,
+however large, is spread over as many ranges as it fills, and a task that is run again routes
+its rows as before.
 """
 
 from __future__ import annotations
@@ -19,8 +22,17 @@ _FILE, _ROW, _SHIFT = "_file", "_row", "_shift"
 
 def _staged_in_order(df: DataFrame, order_by: Sequence[Column | str]) -> DataFrame:
     spark = df.sparkSession
-    path = new_path(spark, "ordered")
-    df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).write.parquet(path)
+    unordered, path = new_path(spark, "unordered"), new_path(spark, "ordered")
+    df.write.parquet(unordered)
+    lying = [F.col("_metadata.file_name").alias(_FILE), F.col("_metadata.row_index").alias(_ROW)]
+    order = [*order_by, _FILE, _ROW]
+    (
+        spark.read.schema(df.schema).parquet(unordered).select("*", *lying)
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .drop(_FILE, _ROW)
+        .write.parquet(path)
+    )
     return spark.read.schema(df.schema).parquet(path).select(
         "*", F.col("_metadata.file_name").alias(_FILE), F.col("_metadata.row_index").alias(_ROW)
     )
@@ -32,8 +44,7 @@ def _file_offsets(per_file: DataFrame, amount: str) -> DataFrame:
 
 
 def dense_number(df: DataFrame, order_by: Sequence[Column | str], name: str = "num") -> DataFrame:
-    """``df`` with 1..n in the given order. Give an order that is unique, or nearly, so that
-    the ranges come out even."""
+    """``df`` with 1..n in the given order."""
     staged = _staged_in_order(df, order_by)
     offsets = _file_offsets(staged.groupBy(_FILE).agg(F.count(F.lit(1)).alias("_n")), "_n")
     # One row per file written, at most spark.sql.shuffle.partitions of them.
