@@ -82,20 +82,26 @@ def _sums(name: str, table: str, keys: str) -> str:
     return f"{name} AS (SELECT {keys}, sum(area_m2) / 10000 AS area_ha, sum(length_m) / 1000 AS length_km FROM {table} GROUP BY {keys})"
 
 
-PROJECTS = f"{A}, {B}, {_sums('dela', 'a', 'projet')}, {_sums('delb', 'b', 'projet')}"
-TOWN_PROJECTS = f"{TOWNS}, {_sums('dela', 'ta', 'projet, communes')}, {_sums('delb', 'tb', 'projet, communes')}"
+PROJECTS = f"{A}, {B}, {_sums('sum_a', 'a', 'projet')}, {_sums('sum_b', 'b', 'projet')}"
+TOWN_PROJECTS = f"{TOWNS}, {_sums('sum_a', 'ta', 'projet, communes')}, {_sums('sum_b', 'tb', 'projet, communes')}"
+
+
+def _far(x: str, y: str) -> str:
+    """More than two percent of the sum apart."""
+    return f"({x} + {y} <> 0 AND abs({x} - {y}) > 0.02 * abs({x} + {y}))"
 
 
 def _diff(measure: str, keys: str) -> str:
-    x, y = f"dela.{measure}", f"delb.{measure}"
-    return f"""SELECT {keys}, round({x}, 6) AS a_{measure}, round({y}, 6) AS b_{measure} FROM dela JOIN delb USING ({keys})
- WHERE {x} + {y} <> 0 AND abs(({x} - {y}) / ({x} + {y}) / 2) > 0.01"""
+    x, y = f"sum_a.{measure}", f"sum_b.{measure}"
+    return f"""SELECT {keys}, round({x}, 6) AS a_{measure}, round({y}, 6) AS b_{measure} FROM sum_a JOIN sum_b USING ({keys}) WHERE {_far(x, y)}"""
 
 
 def _missing(p: str, q: str, keys: str, extra: str = "") -> str:
-    return f"""SELECT {keys}, round(del{p}.area_ha, 6) AS {p}_area_ha, round(del{p}.length_km, 6) AS {p}_length_km,
- round(del{q}.area_ha, 6) AS {q}_area_ha, round(del{q}.length_km, 6) AS {q}_length_km{extra}
- FROM del{p} LEFT JOIN del{q} USING ({keys}) WHERE del{q}.area_ha IS NULL OR del{q}.length_km IS NULL"""
+    """Keys of side ``p`` that side ``q`` has no full pair of measures for."""
+    known = f"SELECT {keys}, area_ha, length_km FROM sum_{q}"
+    return f"""SELECT {keys}, round(x.area_ha, 6) AS {p}_area_ha, round(x.length_km, 6) AS {p}_length_km,
+ round(y.area_ha, 6) AS {q}_area_ha, round(y.length_km, 6) AS {q}_length_km{extra}
+ FROM sum_{p} x LEFT JOIN ({known}) y USING ({keys}) WHERE y.area_ha + y.length_km IS NULL"""
 
 
 # ---- projections ------------------------------------------------------------------------
@@ -369,26 +375,28 @@ def _rule(name: str, test: str) -> str:
 
 BIZ = st.business_with()
 _UNKNOWN = "Durée non définie dans l''acte"
-_DURATION = "coalesce(round(m.duree_prescrite_realisation)::BIGINT || ' ' || ut.nom || '(s)', '" + _UNKNOWN + "')"
-_GROUPED = "p.nom, eu.libelle, mo.nom, pt.nom, pr.date_decision, y.classe, y.type, y.cat, y.sscat, " + _DURATION + ", tr.nom, rp.numero_dossier"
-_FLAT_COLUMNS = f"""p.nom AS projet, eu.libelle AS categorie, mo.nom AS mo, pt.nom AS procedure, pr.date_decision, y.classe, y.type, y.cat, y.sscat,
- {_DURATION} AS duree, tr.nom AS si_metier, rp.numero_dossier"""
-
-
-def _business_joins(category: str) -> str:
-    return f"""JOIN d_procedures pr ON pr.id = m.procedure_id JOIN d_projets p ON p.id = pr.projet_id
- {category} JOIN d_projet_categories pc ON pc.id = p.projet_categorie_id {category} JOIN d_eurovoc eu ON eu.id = pc.id
- LEFT JOIN d_procedure_references rp ON rp.procedure_id = pr.id LEFT JOIN d_reference_types tr ON tr.id = rp.reference_type_id
- JOIN (SELECT * FROM d_classification WHERE classe = 'Compensation') y ON y.id = m.mesure_categorie_id
- LEFT JOIN d_adresses moa ON p.maitrise_ouvrage_adresse_id = moa.id LEFT JOIN d_ouvrages mo ON mo.id = moa.maitrise_ouvrage_id
- LEFT JOIN d_procedure_types pt ON pt.id = pr.procedure_type_id LEFT JOIN d_unites ut ON ut.id = m.duree_unite_id"""
-
-
-_C_MEASURES = "d_mesures m JOIN d_mesure_categories mc ON mc.id = m.mesure_categorie_id"
-_YEARS = f"""SELECT year(pr.date_decision)::BIGINT AS annee, count(m.id) AS nb_mesures FROM d_procedures pr JOIN d_mesures m ON m.procedure_id = pr.id
- JOIN d_mesure_categories mc ON mc.id = m.mesure_categorie_id WHERE substring(mc.code, 1, 1) = 'C' GROUP BY 1"""
-_PROJECT_TOWNS = f"""{BIZ}, pt AS (SELECT pr.projet_id, c.nom FROM d_communes_mesures cm JOIN d_communes c ON c.id = cm.commune_id
- JOIN d_mesures m ON m.id = cm.mesure_id JOIN d_procedures pr ON pr.id = m.procedure_id)"""
+_LABEL = f"CASE WHEN amount IS NULL OR unit IS NULL THEN '{_UNKNOWN}' ELSE floor(amount + 0.5)::BIGINT || ' ' || unit || '(s)' END"
+_TIMED = "timed AS (SELECT d_mesures.*, duree_prescrite_realisation AS amount, d_unites.nom AS unit FROM d_mesures LEFT JOIN d_unites ON d_unites.id = duree_unite_id)"
+# Every attribute of a measure but its place, step by step: project, act, dossiers, class.
+_ATTRIBUTES = "projet, categorie, mo, procedure, date_decision, classe, type, cat, sscat, duree, si_metier, numero_dossier"
+FLAT = f"""{BIZ}, {_TIMED},
+ owner AS (SELECT d_adresses.id AS maitrise_ouvrage_adresse_id, d_ouvrages.nom AS mo FROM d_adresses LEFT JOIN d_ouvrages ON d_ouvrages.id = maitrise_ouvrage_id),
+ topic AS (SELECT id AS projet_categorie_id, libelle AS categorie FROM d_eurovoc WHERE id IN (SELECT id FROM d_projet_categories)),
+ project AS (SELECT id AS projet_id, nom AS projet, categorie, mo, projet_categorie_id IN (SELECT projet_categorie_id FROM topic) AS has_topic
+  FROM d_projets LEFT JOIN topic USING (projet_categorie_id) LEFT JOIN owner USING (maitrise_ouvrage_adresse_id)),
+ act AS (SELECT d_procedures.id AS procedure_id, date_decision, d_procedure_types.nom AS procedure, project.*
+  FROM d_procedures JOIN project USING (projet_id) LEFT JOIN d_procedure_types ON d_procedure_types.id = procedure_type_id),
+ dossier AS (SELECT procedure_id, numero_dossier, d_reference_types.nom AS si_metier FROM d_procedure_references LEFT JOIN d_reference_types ON d_reference_types.id = reference_type_id),
+ flat AS (SELECT timed.id AS mesure_id, has_topic, {_LABEL} AS duree, projet, categorie, mo, procedure, date_decision, k.classe, k.type, k.cat, k.sscat, si_metier, numero_dossier
+  FROM timed JOIN d_classification k ON k.id = mesure_categorie_id AND k.classe = 'Compensation' JOIN act USING (procedure_id) LEFT JOIN dossier USING (procedure_id)),
+ town AS (SELECT mesure_id, nom AS commune, cx, cy FROM d_communes_mesures JOIN d_communes ON d_communes.id = commune_id)"""
+
+_COMPENSATION = "comp AS (SELECT x.*, code, x.id IN (SELECT mesure_id FROM d_emprises_mesures) AS drawn FROM d_mesures x JOIN d_mesure_categories c ON c.id = x.mesure_categorie_id)"
+_IS_C = "code LIKE 'C%'"
+_LEVEL = "['Classe', 'Type', 'sous-categorie'][least(length(code), 3)]"
+_YEARS = f", {_COMPENSATION} SELECT year(date_decision)::BIGINT AS annee, count(*) AS nb_mesures FROM comp JOIN d_procedures ON d_procedures.id = procedure_id WHERE {_IS_C} GROUP BY 1"
+_PROJECT_TOWNS = f"""{BIZ}, pt AS (SELECT projet_id, d_communes.nom FROM d_mesures JOIN d_communes_mesures ON mesure_id = d_mesures.id
+ JOIN d_communes ON d_communes.id = commune_id JOIN d_procedures ON d_procedures.id = procedure_id)"""
 
 
 def _repeated(name: str) -> str:
@@ -455,7 +463,6 @@ _COMMON = "(least(ba.xmax, bb.xmax) - greatest(ba.xmin, bb.xmin)) * (least(ba.ym
 _A_SIDES = ", ".join(f"ba.{s} AS a_{s}" for s in _SIDES)
 _B_SIDES = ", ".join(f"bb.{s} AS b_{s}" for s in _SIDES)
 
-_TOWNLESS = """d_mesures m WHERE m.id NOT IN (SELECT DISTINCT mesure_id FROM d_emprises_mesures)"""
 _XMIN, _YMIN, _XMAX, _YMAX = REQUEST_BOX
 _TX0, _TY0, _TX1, _TY1 = TERRITORY
 
@@ -477,7 +484,7 @@ ORACLE: dict[str, str] = {
  UNION ALL SELECT source, georef, num, projet, si_metier, numero_dossier, md5, s_nationkey, geometry, area_m2 FROM b)
  SELECT * EXCLUDE (s_nationkey, geometry), CASE WHEN geometry IS NULL THEN NULL WHEN s_nationkey = 24 THEN 'utm40s' ELSE 'lambert93' END AS repair_case FROM u""",
     "write_geojson": f"WITH {A} SELECT projet, geom_type, count(*) AS features, sum(n_positions)::BIGINT AS positions FROM a WHERE geometry IS NOT NULL GROUP BY ALL",
-    "write_csv_report": f"WITH {BIZ} {_YEARS}",
+    "write_csv_report": f"WITH {BIZ}{_YEARS}",
     "table_profile": f"WITH {FA} " + " UNION ALL ".join(
         f"SELECT {i}::BIGINT AS position, '{n}' AS name, '{t}' AS data_type, {str(geo).lower()} AS is_geometry, count(*) AS n_rows, count_if({n} IS NULL)::BIGINT AS n_nulls FROM fa"
         for i, (n, t, geo) in enumerate(_PROFILE, start=1)
@@ -493,9 +500,9 @@ ORACLE: dict[str, str] = {
     "assign_num": f"""WITH {FA}, k AS (SELECT * REPLACE (CASE WHEN l_partkey % 7 <> 0 THEN mesure_id END AS mesure_id) FROM fa)
  SELECT coalesce(mesure_id, row_number() OVER (ORDER BY {_ordered(TEXTS)})) AS num, mesure_id, projet, numero_dossier FROM k""",
     "fingerprint_md5": f"WITH {A} SELECT mesure_id, md5 FROM a",
-    "duration_label": f"WITH {BIZ} SELECT m.id, {_DURATION} AS duree FROM d_mesures m LEFT JOIN d_unites ut ON ut.id = m.duree_unite_id",
-    "classify_level": f"WITH {BIZ} SELECT m.id, mc.code, CASE WHEN length(mc.code) = 1 THEN 'Classe' WHEN length(mc.code) = 2 THEN 'Type' ELSE 'sous-categorie' END AS level FROM {_C_MEASURES}",
-    "filter_compensation": f"WITH {BIZ} SELECT m.id, mc.code FROM {_C_MEASURES} WHERE substring(mc.code, 1, 1) = 'C'",
+    "duration_label": f"WITH {BIZ}, {_TIMED} SELECT id, {_LABEL} AS duree FROM timed",
+    "classify_level": f"WITH {BIZ}, {_COMPENSATION} SELECT id, code, {_LEVEL} AS level FROM comp",
+    "filter_compensation": f"WITH {BIZ}, {_COMPENSATION} SELECT id, code FROM comp WHERE {_IS_C}",
     "lookup_measure": f"WITH {A} SELECT num, projet, md5, geom_type, n_positions FROM a WHERE num = (SELECT min(num) FROM a)",
     "bbox_filter": f"WITH {PLACED} SELECT num, projet, geom_type FROM g WHERE xmin <= {_XMAX} AND xmax >= {_XMIN} AND ymin <= {_YMAX} AND ymax >= {_YMIN}",
     "feature_properties": f"""WITH {A} SELECT n_positions AS "nbreOfPos", num, projet, duree, CASE WHEN area_m2 <> 0 THEN round(area_m2 / 10000, 2) END AS area_ha,
@@ -553,33 +560,31 @@ ORACLE: dict[str, str] = {
     "diff_area_by_communes": f"WITH {TOWN_PROJECTS} {_diff('area_ha', 'projet, communes')}",
     "diff_length_by_communes": f"WITH {TOWN_PROJECTS} {_diff('length_km', 'projet, communes')}",
     "missing_by_communes": "WITH " + TOWN_PROJECTS + " SELECT * FROM (" + _missing("a", "b", "projet, communes", ", 'b' AS missing_in") + ") UNION ALL BY NAME SELECT * FROM (" + _missing("b", "a", "projet, communes", ", 'a' AS missing_in") + ")",
-    "missing_totals": f"WITH {TOWN_PROJECTS} SELECT round(sum(dela.area_ha), 6) AS area_ha, round(sum(dela.length_km), 6) AS length_km FROM dela LEFT JOIN delb USING (projet, communes) WHERE delb.area_ha IS NULL OR delb.length_km IS NULL",
-    "diff_fingerprints": f"""WITH {A}, {B}, ca AS (SELECT md5, count(*) AS a_nbre FROM a GROUP BY md5), cb AS (SELECT md5, count(*) AS b_nbre FROM b GROUP BY md5)
- SELECT md5, a_nbre, b_nbre FROM ca LEFT JOIN cb USING (md5) WHERE cb.md5 IS NULL OR a_nbre <> b_nbre""",
-    "drill_fingerprint": f"""WITH {A}, {B}, ca AS (SELECT md5, count(*) AS a_nbre FROM a GROUP BY md5), cb AS (SELECT md5, count(*) AS b_nbre FROM b GROUP BY md5)
- SELECT num, projet, si_metier, numero_dossier, md5 FROM a WHERE md5 IN (SELECT ca.md5 FROM ca LEFT JOIN cb USING (md5) WHERE cb.md5 IS NULL OR a_nbre <> b_nbre)""",
-    "reconcile": f"""WITH {PROJECTS} SELECT coalesce(dela.projet, delb.projet) AS projet, round(dela.area_ha, 6) AS a_area_ha, round(delb.area_ha, 6) AS b_area_ha,
- round(dela.length_km, 6) AS a_length_km, round(delb.length_km, 6) AS b_length_km, CASE WHEN delb.projet IS NULL THEN 'only_a' WHEN dela.projet IS NULL THEN 'only_b'
- WHEN dela.area_ha + delb.area_ha <> 0 AND abs((dela.area_ha - delb.area_ha) / (dela.area_ha + delb.area_ha) / 2) > 0.01 THEN 'changed_area'
- WHEN dela.length_km + delb.length_km <> 0 AND abs((dela.length_km - delb.length_km) / (dela.length_km + delb.length_km) / 2) > 0.01 THEN 'changed_length' ELSE 'same' END AS status
- FROM dela FULL JOIN delb ON dela.projet = delb.projet""",
+    "missing_totals": f"""WITH {TOWN_PROJECTS} SELECT round(sum(area_ha), 6) AS area_ha, round(sum(length_km), 6) AS length_km FROM sum_a x
+ WHERE NOT EXISTS (SELECT 1 FROM sum_b y WHERE y.projet = x.projet AND y.communes = x.communes AND y.area_ha + y.length_km IS NOT NULL)""",
+    "diff_fingerprints": f"""WITH {A}, {B}, n AS (SELECT md5, count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb
+  FROM (SELECT md5, 'a' AS side FROM a UNION ALL SELECT md5, 'b' FROM b) GROUP BY md5) SELECT md5, na AS a_nbre, nullif(nb, 0) AS b_nbre FROM n WHERE na > 0 AND na <> nb""",
+    "drill_fingerprint": f"""WITH {A}, {B} SELECT num, projet, si_metier, numero_dossier, md5 FROM
+ (SELECT *, count(*) OVER (PARTITION BY md5) AS na FROM a) x WHERE na <> (SELECT count(*) FROM b WHERE b.md5 = x.md5)""",
+    "reconcile": f"""WITH {PROJECTS}, j AS (SELECT coalesce(x.projet, y.projet) AS projet, x.projet IS NULL AS no_a, y.projet IS NULL AS no_b,
+  x.area_ha AS xa, y.area_ha AS ya, x.length_km AS xl, y.length_km AS yl FROM sum_a x FULL JOIN sum_b y ON x.projet = y.projet)
+ SELECT projet, round(xa, 6) AS a_area_ha, round(ya, 6) AS b_area_ha, round(xl, 6) AS a_length_km, round(yl, 6) AS b_length_km,
+ CASE WHEN no_b THEN 'only_a' WHEN no_a THEN 'only_b' WHEN {_far('xa', 'ya')} THEN 'changed_area' WHEN {_far('xl', 'yl')} THEN 'changed_length' ELSE 'same' END AS status FROM j""",
     "same_geometry_pairs": f"""WITH {FC}, i AS (SELECT DISTINCT projet, mo, communes, procedure, type, geometry FROM fc WHERE geometry IS NOT NULL),
  k AS (SELECT *, row_number() OVER () AS id FROM i) SELECT x.projet, count(*) AS n_others FROM k x JOIN k y ON x.geometry = y.geometry AND x.id <> y.id GROUP BY x.id, x.projet""",
     "fd_conflict_pairs": f"WITH {FC} " + _conflicts("duree", label=", 'duree' AS attribute") + " UNION ALL " + _conflicts("si_metier", label=", 'si_metier' AS attribute"),
     "fd_conflict_pairs_same_si": f"WITH {FCN} " + _conflicts("numero_dossier", (*_KEY, "si_metier")),
     "bbox_overlap_join": f"WITH {BOXED} SELECT {_A_SIDES}, {_B_SIDES}, ba.n AS a_n, bb.n AS b_n, {_COMMON} AS overlap_m2 FROM ba JOIN bb ON {_MEET}",
     "bbox_overlap_area": f"WITH {BOXED} SELECT {_A_SIDES}, ba.n AS a_n, sum(bb.n)::BIGINT AS n_meeting, sum(bb.n * {_COMMON}) AS overlap_m2 FROM ba JOIN bb ON {_MEET} GROUP BY ALL",
-    "extract_with_footprint": f"""WITH {BIZ} SELECT * EXCLUDE (g) FROM (SELECT {_FLAT_COLUMNS}, '{{' || string_agg(DISTINCT co.nom, ',' ORDER BY co.nom) || '}}' AS c0, bool_or(co.nom IS NULL) AS has_null,
- CASE WHEN count(co.nom) = 0 THEN '{{NULL}}' WHEN bool_or(co.nom IS NULL) THEN '{{' || string_agg(DISTINCT co.nom, ',' ORDER BY co.nom) || ',NULL}}' ELSE '{{' || string_agg(DISTINCT co.nom, ',' ORDER BY co.nom) || '}}' END AS communes, e.geometry AS g, 2154::BIGINT AS srid
- FROM d_mesures m JOIN d_emprises_mesures em ON em.mesure_id = m.id JOIN d_communes_mesures cm ON cm.mesure_id = m.id JOIN d_communes co ON co.id = cm.commune_id JOIN d_emprises e ON e.id = em.emprise_id
- {_business_joins('')} WHERE m.id IN (SELECT DISTINCT mesure_id FROM d_emprises_mesures) GROUP BY {_GROUPED}, e.geometry)""".replace("* EXCLUDE (g)", "* EXCLUDE (g, c0, has_null)"),
-    "extract_by_commune": f"""WITH {BIZ}, x AS (SELECT {_FLAT_COLUMNS}, co.cx, co.cy, c.nom AS commune FROM d_mesures m {_business_joins('LEFT')}
- JOIN d_communes_mesures cm ON cm.mesure_id = m.id JOIN d_communes c ON c.id = cm.commune_id LEFT JOIN d_communes co ON co.id = cm.commune_id WHERE m.id NOT IN (SELECT DISTINCT mesure_id FROM d_emprises_mesures)),
- n AS (SELECT *, count(*) AS c FROM x GROUP BY ALL)
- SELECT * EXCLUDE (commune, c), sum(c)::BIGINT AS n_communes, '{{' || string_agg(rtrim(repeat(coalesce(commune, 'NULL') || ',', c::INTEGER), ','), ',' ORDER BY commune NULLS LAST) || '}}' AS communes,
- string_agg(coalesce(commune, 'NULL') || '*' || c, ',' ORDER BY commune NULLS LAST) AS communes_counted FROM n GROUP BY ALL""",
-    "measures_in_footprints": f"WITH {BIZ} SELECT id, procedure_id FROM d_mesures WHERE id IN (SELECT DISTINCT mesure_id FROM d_emprises_mesures)",
-    "measures_not_in_footprints": f"WITH {BIZ} SELECT id, procedure_id FROM {_TOWNLESS}",
+    "extract_with_footprint": f"""WITH {FLAT}, shape AS (SELECT mesure_id, geometry FROM d_emprises_mesures JOIN d_emprises ON d_emprises.id = emprise_id),
+ one AS (SELECT DISTINCT {_ATTRIBUTES}, geometry, commune FROM flat JOIN shape USING (mesure_id) JOIN town USING (mesure_id) WHERE has_topic)
+ SELECT {_ATTRIBUTES}, {_repeated('commune')} AS communes, 2154::BIGINT AS srid FROM one GROUP BY {_ATTRIBUTES}, geometry""",
+    "extract_by_commune": f"""WITH {FLAT}, n AS (SELECT {_ATTRIBUTES}, cx, cy, commune, count(*) AS c FROM flat JOIN town USING (mesure_id)
+  WHERE mesure_id NOT IN (SELECT mesure_id FROM d_emprises_mesures) GROUP BY ALL)
+ SELECT {_ATTRIBUTES}, cx, cy, sum(c)::BIGINT AS n_communes, '{{' || string_agg(rtrim(repeat(coalesce(commune, 'NULL') || ',', c::INTEGER), ','), ',' ORDER BY commune NULLS LAST) || '}}' AS communes,
+ string_agg(coalesce(commune, 'NULL') || '*' || c, ',' ORDER BY commune NULLS LAST) AS communes_counted FROM n GROUP BY {_ATTRIBUTES}, cx, cy""",
+    "measures_in_footprints": f"WITH {BIZ}, {_COMPENSATION} SELECT id, procedure_id FROM comp WHERE drawn",
+    "measures_not_in_footprints": f"WITH {BIZ}, {_COMPENSATION} SELECT id, procedure_id FROM comp WHERE NOT drawn",
     "delivery_stats": f"WITH {D} SELECT source, delivery_date, georef, count(*) AS nbre, round(sum(area_m2) / 10000, 6) AS area_ha, round(sum(length_m) / 1000, 6) AS length_km FROM d GROUP BY ALL",
     "point_census": f"WITH {D} SELECT source, delivery_date, georef, coalesce(sum(n_points), 0)::BIGINT AS nb_points FROM d GROUP BY ALL",
     "collection_signatures": f"WITH {D} SELECT source, delivery_date, georef, signature, count(*) AS nbre FROM d WHERE signature IS NOT NULL GROUP BY ALL",
@@ -603,13 +608,13 @@ ORACLE: dict[str, str] = {
     "array_agg_all": f"""WITH {_PROJECT_TOWNS}, n AS (SELECT projet_id, nom, count(*) AS c FROM pt GROUP BY ALL) SELECT x.projet_id, x.n, x.communes, y.communes_counted FROM
  (SELECT projet_id, count(*) AS n, {_repeated('nom')} AS communes FROM pt GROUP BY projet_id) x
  JOIN (SELECT projet_id, string_agg(coalesce(nom, 'NULL') || '*' || c, ',' ORDER BY nom NULLS LAST) AS communes_counted FROM n GROUP BY projet_id) y USING (projet_id)""",
-    "measures_per_year": f"WITH {BIZ} {_YEARS}",
-    "kpi_summary": f"""WITH {BIZ} SELECT 'Mesures ayant a minima une emprise' AS libelle, count(DISTINCT em.mesure_id) AS total FROM {_C_MEASURES} JOIN d_emprises_mesures em ON em.mesure_id = m.id WHERE substring(mc.code, 1, 1) = 'C'
- UNION SELECT 'Mesures géolocalisées uniquement à la commune', count(DISTINCT cm.mesure_id) FROM {_C_MEASURES} JOIN d_communes_mesures cm ON cm.mesure_id = m.id WHERE substring(mc.code, 1, 1) = 'C' AND m.id NOT IN (SELECT DISTINCT mesure_id FROM d_emprises_mesures)
- UNION SELECT 'Mesures dont la durée est renseignée', count(*) FROM {_C_MEASURES} WHERE substring(mc.code, 1, 1) = 'C' AND duree_prescrite_realisation IS NOT NULL
- UNION SELECT 'Projets ', count(*) FROM d_projets""",
-    "level_histogram": f"""WITH {BIZ} SELECT CASE WHEN length(mc.code) = 1 THEN 'Classe' WHEN length(mc.code) = 2 THEN 'Type' ELSE 'sous-categorie' END AS code, count(m.id) AS nb_mesures
- FROM {_C_MEASURES} WHERE substring(mc.code, 1, 1) = 'C' GROUP BY length(mc.code)""",
+    "measures_per_year": f"WITH {BIZ}{_YEARS}",
+    "kpi_summary": f"""WITH {BIZ}, {_COMPENSATION}, n AS (SELECT count(*) FILTER (drawn) AS with_shape,
+  count(*) FILTER (NOT drawn AND id IN (SELECT mesure_id FROM d_communes_mesures)) AS town_only, count(duree_prescrite_realisation) AS timed FROM comp WHERE {_IS_C})
+ SELECT unnest(['Mesures ayant a minima une emprise', 'Mesures géolocalisées uniquement à la commune', 'Mesures dont la durée est renseignée', 'Projets ']) AS libelle,
+ unnest([with_shape, town_only, timed, (SELECT count(*) FROM d_projets)]) AS total FROM n""",
+    "level_histogram": f"""WITH {BIZ}, {_COMPENSATION} SELECT {_LEVEL} AS code, n AS nb_mesures FROM
+ (SELECT any_value(code) AS code, count(*) AS n FROM comp WHERE {_IS_C} GROUP BY length(code))""",
     "rank_by_area": f"WITH {A} SELECT num, projet, round(area_m2 / 10000, 6) AS area_ha FROM a ORDER BY area_ha DESC NULLS FIRST",
     "limit_features": f"""WITH {A}, s AS (SELECT num, projet, n_positions, sum(n_positions) OVER (ORDER BY area_m2 DESC, num, md5, geom_type, n_positions ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM a WHERE geometry IS NOT NULL)
  SELECT num, projet, n_positions FROM s WHERE coalesce(b, 0) < 2000""",

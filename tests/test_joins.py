@@ -190,3 +190,10 @@ def test_self_crossing_shapes(spark):
     assert got == {"bow", "spike", "star"}
     counted = {r["rule"]: r["violations"] for r in audit.audit_validity(df).collect()}
     assert counted["self_crossing"] == 6 and counted["open_ring"] == 2
+
+
+def test_copies_are_numbered_once_each_and_spread(spark):
+    df = spark.range(20_000).select(F.lit("same").alias("v"), F.lit("x" * 50).alias("w"))
+    got = dense_number(df, ["v", "w"], "n")
+    assert got.agg(F.count_distinct("n"), F.min("n"), F.max("n")).first() == (20_000, 1, 20_000)
+    assert got.select(F.input_file_name()).distinct().count() > 1

@@ -248,3 +248,24 @@ def test_levels_may_share_a_label(spark, sf_dir):
     labels = [r["code"] for r in QUERIES["level_histogram"](spark, sf_dir).collect()]
     assert sorted(labels) == ["Classe", "Type", "sous-categorie", "sous-categorie"]
     assert text.UNKNOWN_DURATION.startswith("Dur")
+
+
+def test_repeated_links_and_dossiers_count_as_often_as_they_stand(spark, sf_dir):
+    """Every link and dossier doubled: four times the names, the same groups."""
+    from tallymap.plans import sample_tables as st
+
+    plain = st.business(spark, sf_dir)
+    doubled = st.business(spark, sf_dir)
+    for name in ("d_communes_mesures", "d_procedure_references"):
+        doubled[name] = plain[name].unionByName(plain[name])
+
+    def by_group(t):
+        rows = extract.extract_by_commune(t).withColumn("has", F.col("numero_dossier").isNotNull())
+        return rows.groupBy("has").agg(F.count(F.lit(1)).alias("g"), F.sum("n_communes").alias("n")).collect()
+
+    one = {r["has"]: (r["g"], r["n"]) for r in by_group(plain)}
+    two = {r["has"]: (r["g"], r["n"]) for r in by_group(doubled)}
+    assert two[True] == (one[True][0], 4 * one[True][1])
+    assert two[False] == (one[False][0], 2 * one[False][1])
+    a, b = (extract.extract_with_footprint(t) for t in (plain, doubled))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
