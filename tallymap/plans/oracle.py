@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 from tallymap.plans import sample_tables as st
-from tallymap.plans.queries import BLANKS, DATE, FIRST, HEIGHTS, REQUEST_BOX, SECOND, TERRITORY, ZOOMS
+from tallymap.plans.queries import BLANKS, DATE, FIRST, REQUEST_BOX, SECOND, TERRITORY, ZOOMS
 
 GEN = st.GENERATOR_COLUMNS
 TEXTS = (
