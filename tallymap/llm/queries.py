@@ -6,16 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymap.llm import secrets
+import public_tokenizers
+
+from tallymap.llm import idfiles, packing, secrets
 from tallymap.llm.tables import table
 
 
+#: Ids of the tokenizer of byte pairs, its special one included.
+BYTE_VOCABULARY = 50_257
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return idfiles.round_trip(table(spark, sf_dir, "documents"), path, BYTE_VOCABULARY, end_id=2)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_texts(table(spark, sf_dir, "documents"), path, end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_token_ids": op6_token_ids,
     "op7_secret_scan": op7_secret_scan,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE: dict[str, str] = {}
