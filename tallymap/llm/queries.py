@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tallymap.llm import idfiles, packing, secrets
+from tallymap.llm import idfiles, packing, secrets, toxicity
 from tallymap.llm.tables import table
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 #: Ids of the tokenizer of byte pairs, its special one included.
 BYTE_VOCABULARY = 50_257
 
@@ -31,6 +36,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": op4_toxicity,
     "op6_token_ids": op6_token_ids,
     "op7_secret_scan": op7_secret_scan,
     "op10_best_fit_packing": op10_best_fit_packing,
