@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tallymap.llm import idfiles, packing, secrets, toxicity
+from tallymap.llm import idfiles, neardup, packing, secrets, toxicity
 from tallymap.llm.tables import table
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -36,6 +40,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_toxicity": op4_toxicity,
     "op6_token_ids": op6_token_ids,
     "op7_secret_scan": op7_secret_scan,
