@@ -26,15 +26,22 @@ _open: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit numbers, without special tokens."""
+    """Ids of texts as little-endian 32-bit numbers, without special tokens.
 
-    def __init__(self, path: str, most: int = 500_000):
+    Pieces are kept in two generations of ``most`` each: when the younger is full it becomes
+    the older, and what is used again moves over.
+    """
+
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        self.kept: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        #: Whether white space has a part in the ids.
+        self.spaced = self._whole([" a"]) != self._whole(["a"])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -49,19 +56,24 @@ class Encoder:
         return not _ODD.search(text)
 
     def _pieces(self, text: str) -> bytes:
-        pieces = _PIECE.findall(text)
-        new = list(set(pieces) - self.kept.keys())
+        pieces = _PIECE.findall(text) if self.spaced else text.split()
+        young, old = self.young, self.old
+        new = []
+        for p in set(pieces):
+            if p not in young:
+                if p in old:
+                    young[p] = old[p]
+                else:
+                    new.append(p)
         if new:
-            short = [p for p in new if len(p) <= _LONGEST]
-            if len(self.kept) + len(short) > self.most:
-                self.kept.clear()
-                short = [p for p in set(pieces) if len(p) <= _LONGEST]
-            self.kept.update(zip(short, self._whole(short), strict=True))
-            if len(short) < len(new):
-                long = {p: None for p in pieces if len(p) > _LONGEST}
-                ids = dict(zip(long, self._whole(list(long)), strict=True))
-                return b"".join([self.kept[p] if len(p) <= _LONGEST else ids[p] for p in pieces])
-        return b"".join(map(self.kept.__getitem__, pieces))
+            young.update(zip(new, self._whole(new), strict=True))
+        ids = b"".join(map(young.__getitem__, pieces))
+        for p in new:
+            if len(p) > _LONGEST:
+                del young[p]
+        if len(young) > self.most:
+            self.old, self.young = young, {}
+        return ids
 
     def ids(self, text: str) -> bytes:
         if not text:
