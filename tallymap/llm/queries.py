@@ -8,10 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tallymap.llm import idfiles, neardup, packing, secrets, toxicity
+from tallymap.llm import idfiles, mixing, neardup, packing, quality, secrets, toxicity
 from tallymap.llm.tables import table
 
 
+def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,6 +48,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_divergence": op1_quality_divergence,
+    "op2_source_mix": op2_source_mix,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_toxicity": op4_toxicity,
     "op6_token_ids": op6_token_ids,
