@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tallymap.llm import idfiles, mixing, neardup, packing, quality, secrets, toxicity
+from tallymap.llm import idfiles, lmscore, mixing, neardup, packing, quality, secrets, toxicity
 from tallymap.llm.tables import table
 
 
@@ -42,6 +42,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_texts(table(spark, sf_dir, "documents"), path, end_id=1)
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_token_ids": op6_token_ids,
     "op7_secret_scan": op7_secret_scan,
+    "op9_lm_scores": op9_lm_scores,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
