@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -19,6 +20,11 @@ from tallymap.llm.tables import SLICE_BYTES
 _PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _ODD = re.compile(r"[^\S \n]")
 _ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: A word that cutting and normalizing leave as it is, up to its case: the byte-pair model alone gives its ids.
+_WORD = re.compile(f" ?[{_LETTERS}]+")
+#: A word with marks behind it: a tokenizer cuts behind letters, so its ids are those of both parts.
+_MARKED = re.compile(f"( ?[{_LETTERS}]+)([!-&(-/:-@\\[-`{{-~]+)")
 #: A longer piece isn't kept.
 _LONGEST = 64
 
@@ -41,7 +47,14 @@ class Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         #: Whether white space has a part in the ids.
+        self.model = self.tokenizer.model
+        # byte-level models write a byte as a character: visible ones as themselves, the others from 256 on
+        visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = iter(range(256, 512))
+        self.shown = {b: chr(b) if b in visible else chr(next(hidden)) for b in range(256)}
         self.spaced = self._whole([" a"]) != self._whole(["a"])
+        #: Whether letters are told apart by case.
+        self.cased = self._whole(["A"]) != self._whole(["a"])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -55,22 +68,51 @@ class Encoder:
             return not any(c in text for c in _ODD_ASCII)
         return not _ODD.search(text)
 
+    def _stored(self, piece: str) -> bool:
+        if piece in self.young:
+            return True
+        if piece in self.old:
+            self.young[piece] = self.old[piece]
+            return True
+        return False
+
+    def _word(self, word: str) -> bytes:
+        shown = word.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _encode(self, pieces: list[str]) -> None:
+        rest = []
+        for p in pieces:
+            if not self._stored(p):
+                if _WORD.fullmatch(p) and (self.cased or p.islower()):
+                    self.young[p] = self._word(p)
+                else:
+                    rest.append(p)
+        if rest:
+            self.young.update(zip(rest, self._whole(rest), strict=True))
+
+    def _parts(self, piece: str) -> list[str]:
+        """Parts whose ids make up those of the piece: a word in one case, and the marks behind it."""
+        marked = _MARKED.fullmatch(piece)
+        parts = list(marked.groups()) if marked else [piece]
+        if not self.cased and _WORD.fullmatch(parts[0]):
+            parts[0] = parts[0].lower()
+        return parts
+
     def _pieces(self, text: str) -> bytes:
         pieces = _PIECE.findall(text) if self.spaced else text.split()
-        young, old = self.young, self.old
-        new = []
-        for p in set(pieces):
-            if p not in young:
-                if p in old:
-                    young[p] = old[p]
-                else:
-                    new.append(p)
-        if new:
-            young.update(zip(new, self._whole(new), strict=True))
+        new = {p: self._parts(p) for p in set(pieces) if not self._stored(p)}
+        self._encode(list({part for parts in new.values() for part in parts}))
+        young = self.young
+        for p, parts in new.items():
+            if len(parts) > 1 or parts[0] != p:
+                young[p] = b"".join([young[part] for part in parts])
         ids = b"".join(map(young.__getitem__, pieces))
         for p in new:
             if len(p) > _LONGEST:
-                del young[p]
+                young.pop(p, None)
+                for part in new[p]:
+                    young.pop(part, None)
         if len(young) > self.most:
             self.old, self.young = young, {}
         return ids

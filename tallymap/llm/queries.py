@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tallymap.llm import idfiles, lmscore, mixing, neardup, packing, quality, secrets, toxicity
+from tallymap.llm import idfiles, lmscore, mixing, neardup, packing, pages, quality, secrets, topk, toxicity
 from tallymap.llm.tables import table
 
 
@@ -29,6 +29,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
 #: Ids of the tokenizer of byte pairs, its special one included.
 BYTE_VOCABULARY = 50_257
 
@@ -42,6 +46,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.lm_scores(table(spark, sf_dir, "documents"))
 
@@ -56,10 +64,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_toxicity": op4_toxicity,
+    "op5_exact_topk": op5_exact_topk,
     "op6_token_ids": op6_token_ids,
     "op7_secret_scan": op7_secret_scan,
+    "op8_main_text": op8_main_text,
     "op9_lm_scores": op9_lm_scores,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_exact_topk": """
+        WITH vectors AS (
+            SELECT CAST(vec_id AS BIGINT) AS vec_id,
+                   [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query, c.vec_id AS vec_id,
+                   CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 50 = 0
+        ), ranked AS (
+            SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank, vec_id, score
+            FROM scored
+        )
+        SELECT query, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+}

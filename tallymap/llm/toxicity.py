@@ -33,19 +33,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymap.llm.tables import crc_mod, map_rows
+from tallymap.session import write_stage
 
 ORDERS = (3, 4, 5, 6, 7, 8)
 #: Buckets of hashed n-grams, as a power of two.
 BITS = 22
 CHUNKS = 64
 #: Labelled rows that the classifier is fitted on, at most.
-TRAINING_ROWS = 40_000
+TRAINING_ROWS = 20_000
 #: n-grams that take part.
-FEATURES = 16_384
+FEATURES = 8_192
 #: Training documents in which an n-gram occurs at least.
 LEAST_DOCS = 3
 SMOOTHING = 1.0
 PENALTY = 1e-4
+#: Steps of the fit, at most.
+STEPS = 80
 #: Characters worked on at once.
 SLICE_CHARS = 1 << 19
 _FACTORS = np.array(
@@ -164,11 +167,13 @@ def _count_features(rows: DataFrame, smoothing: float, least: int, features: int
             part(a, b)
             for a, b in ((p, both * n1 / n), (q, both * n0 / n), (n1 - p, (n - both) * n1 / n), (n0 - q, (n - both) * n0 / n))
         )
-        return pd.DataFrame({"bucket": bucket + int(group["chunk"].iloc[0]) * total.shape[1], "ratio": ratio, "told": told, "n0": n0, "n1": n1})
+        offered = pd.DataFrame({"bucket": bucket + int(group["chunk"].iloc[0]) * total.shape[1], "ratio": ratio, "told": told, "n0": n0, "n1": n1})
+        return offered.nlargest(features, "told", keep="all")
 
     counted = rows.mapInArrow(count, "chunk int, n0 long, n1 long, counts binary")
     found = counted.groupBy("chunk").applyInPandas(select, "bucket long, ratio double, told double, n0 long, n1 long")
-    best = found.orderBy(F.desc("told"), "bucket").limit(features).toPandas().sort_values("bucket")
+    # written first, so that executors and not the driver merge what the chunks offer
+    best = write_stage(found.orderBy(F.desc("told"), "bucket").limit(features), "features").toPandas().sort_values("bucket")
     if best.empty:
         numbers = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
         return numbers.get(0, 0), numbers.get(1, 0), best
@@ -202,26 +207,35 @@ def _present(texts: list[str], buckets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return pairs >> 16, pairs & 0xFFFF
 
 
-def fit_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, n: int, penalty: float = PENALTY) -> np.ndarray:
-    """Weights of n features, and of the constant behind them, by limited-memory BFGS.
+def fit_logistic(lists: list[np.ndarray], values: np.ndarray, labels: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+    """Weights of the features, and of the constant behind them, by limited-memory BFGS.
 
-    (rows, columns) are the places of the features that are there, in order of rows.
+    ``lists``: the features that each row has, ``values``: the value of a feature where it is there. Rows are gone
+    through in blocks, so the largest array besides the lists is one block's.
     """
-    m = len(labels)
-    value = values[columns]
+    n, m = len(values), len(labels)
+    blocks = []
+    for a in range(0, m, 1000):
+        part = lists[a : a + 1000]
+        blocks.append((slice(a, a + len(part)), np.repeat(np.arange(len(part)), [len(x) for x in part]).astype(np.int16), np.concatenate(part)))
 
     def loss(w):
-        z = w[n] + np.bincount(rows, weights=w[columns] * value, minlength=m)
-        cost = np.logaddexp(0, z) - labels * z
-        error = (1 / (1 + np.exp(-z)) - labels) / m
-        slope = np.append(np.bincount(columns, weights=error[rows] * value, minlength=n) + penalty * w[:n], error.sum())
-        return cost.mean() + penalty / 2 * (w[:n] ** 2).sum(), slope
+        scaled = w[:n] * values
+        slope, cost, total = np.zeros(n), 0.0, 0.0
+        for place, row, column in blocks:
+            label = labels[place]
+            z = w[n] + np.bincount(row, weights=scaled[column], minlength=len(label))
+            cost += (np.logaddexp(0, z) - label * z).sum()
+            error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - label) / m
+            slope += np.bincount(column, weights=error[row], minlength=n)
+            total += error.sum()
+        return cost / m + penalty / 2 * (w[:n] ** 2).sum(), np.append(slope * values + penalty * w[:n], total)
 
     w = np.zeros(n + 1)
     w[n] = math.log(max(labels.sum(), 0.5) / max(m - labels.sum(), 0.5))
     cost, slope = loss(w)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(200):
+    for _ in range(STEPS):
         if np.abs(slope).max() < 1e-6:
             break
         way, kept = -slope, []
@@ -270,11 +284,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, feature
                 yield labels[at + i], slot[ends[i] : ends[i + 1]].astype("<u2").tobytes()
             at += len(part)
 
-    seen = map_rows(rows, featured, "label int, slots binary").orderBy("slots", "label").toPandas()
-    lists = [np.frombuffer(s, dtype="<u2") for s in seen["slots"]]
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    seen = sorted(map(tuple, map_rows(rows, featured, "label int, slots binary").toPandas()[["slots", "label"]].itertuples(index=False)))
     ratio = best["ratio"].to_numpy()
-    w = fit_logistic(owner, np.concatenate(lists).astype(np.int64), ratio, seen["label"].to_numpy(float), len(buckets))
+    w = fit_logistic([np.frombuffer(s, dtype="<u2") for s, _ in seen], ratio, np.array([label for _, label in seen], dtype=float))
     return Model(buckets, w[:-1] * ratio, float(w[-1]))
 
 
