@@ -204,7 +204,7 @@ def box(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
 
 
 def box_of_positions(items: Column) -> Column:
-    """Box around an array of positions, in one pass; null when there are none."""
+    """Box around an array of positions, in one pass; null when no coordinate is known along an axis."""
     start = box(*(F.lit(v) for v in (float("inf"), float("inf"), float("-inf"), float("-inf"))))
     folded = F.aggregate(
         items,
@@ -216,7 +216,7 @@ def box_of_positions(items: Column) -> Column:
             F.greatest(acc["ymax"], p["y"]),
         ),
     )
-    return F.when(F.size(items) > 0, folded)
+    return bind(folded, lambda b: F.when((b["xmin"] <= b["xmax"]) & (b["ymin"] <= b["ymax"]), b))
 
 
 def geometry_box(geom: Column) -> Column:

@@ -581,8 +581,7 @@ ORACLE: dict[str, str] = {
  SELECT {_ATTRIBUTES}, {_repeated('commune')} AS communes, 2154::BIGINT AS srid FROM one GROUP BY {_ATTRIBUTES}, geometry""",
     "extract_by_commune": f"""WITH {FLAT}, n AS (SELECT {_ATTRIBUTES}, cx, cy, commune, count(*) AS c FROM flat JOIN town USING (mesure_id)
   WHERE mesure_id NOT IN (SELECT mesure_id FROM d_emprises_mesures) GROUP BY ALL)
- SELECT {_ATTRIBUTES}, cx, cy, sum(c)::BIGINT AS n_communes, '{{' || string_agg(rtrim(repeat(coalesce(commune, 'NULL') || ',', c::INTEGER), ','), ',' ORDER BY commune NULLS LAST) || '}}' AS communes,
- string_agg(coalesce(commune, 'NULL') || '*' || c, ',' ORDER BY commune NULLS LAST) AS communes_counted FROM n GROUP BY {_ATTRIBUTES}, cx, cy""",
+ SELECT {_ATTRIBUTES}, cx, cy, sum(c)::BIGINT AS n_communes, string_agg(coalesce(commune, 'NULL') || '*' || c, ',' ORDER BY commune NULLS LAST) AS communes FROM n GROUP BY {_ATTRIBUTES}, cx, cy""",
     "measures_in_footprints": f"WITH {BIZ}, {_COMPENSATION} SELECT id, procedure_id FROM comp WHERE drawn",
     "measures_not_in_footprints": f"WITH {BIZ}, {_COMPENSATION} SELECT id, procedure_id FROM comp WHERE NOT drawn",
     "delivery_stats": f"WITH {D} SELECT source, delivery_date, georef, count(*) AS nbre, round(sum(area_m2) / 10000, 6) AS area_ha, round(sum(length_m) / 1000, 6) AS length_km FROM d GROUP BY ALL",
@@ -605,9 +604,8 @@ ORACLE: dict[str, str] = {
     "check_dependencies": f"WITH {FC} {_dependencies()}",
     "max_area_measures": f"WITH {A} SELECT num, projet, area_m2 FROM a WHERE area_m2 = (SELECT max(area_m2) FROM a)",
     "array_agg_distinct": f"""WITH {_PROJECT_TOWNS} SELECT projet_id, {_repeated('nom')} AS communes FROM (SELECT DISTINCT projet_id, nom FROM pt) GROUP BY projet_id""",
-    "array_agg_all": f"""WITH {_PROJECT_TOWNS}, n AS (SELECT projet_id, nom, count(*) AS c FROM pt GROUP BY ALL) SELECT x.projet_id, x.n, x.communes, y.communes_counted FROM
- (SELECT projet_id, count(*) AS n, {_repeated('nom')} AS communes FROM pt GROUP BY projet_id) x
- JOIN (SELECT projet_id, string_agg(coalesce(nom, 'NULL') || '*' || c, ',' ORDER BY nom NULLS LAST) AS communes_counted FROM n GROUP BY projet_id) y USING (projet_id)""",
+    "array_agg_all": f"""WITH {_PROJECT_TOWNS}, n AS (SELECT projet_id, nom, count(*) AS c FROM pt GROUP BY ALL)
+ SELECT projet_id, sum(c)::BIGINT AS n, string_agg(coalesce(nom, 'NULL') || '*' || c, ',' ORDER BY nom NULLS LAST) AS communes FROM n GROUP BY projet_id""",
     "measures_per_year": f"WITH {BIZ}{_YEARS}",
     "kpi_summary": f"""WITH {BIZ}, {_COMPENSATION}, n AS (SELECT count(*) FILTER (drawn) AS with_shape,
   count(*) FILTER (NOT drawn AND id IN (SELECT mesure_id FROM d_communes_mesures)) AS town_only, count(duree_prescrite_realisation) AS timed FROM comp WHERE {_IS_C})

@@ -734,8 +734,7 @@ def array_agg_all(spark, sf_dir):
     return _project_towns(spark, sf_dir).select(
         "projet_id",
         extract.name_total(names).alias("n"),
-        extract.repeated_literal(names).alias("communes"),
-        extract.counted_text(names).alias("communes_counted"),
+        extract.counted_text(names).alias("communes"),
     )
 
 

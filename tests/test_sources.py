@@ -228,20 +228,23 @@ def test_names_keep_nulls_and_repeats(spark):
     rows = [("k", "B"), ("k", None), ("k", "A"), ("k", None), ("k", "A"), ("n", None)]
     names = extract.names_with_counts(spark.createDataFrame(rows, "k string, c string"), ["k"], "c")
     got = {
-        r["k"]: (r["d"], r["r"], r["t"], r["n"])
+        r["k"]: (r["d"], r["t"], r["n"])
         for r in names.select(
-            "k", extract.distinct_literal(F.col("names")).alias("d"), extract.repeated_literal(F.col("names")).alias("r"),
+            "k", extract.distinct_literal(F.col("names")).alias("d"),
             extract.counted_text(F.col("names")).alias("t"), extract.name_total(F.col("names")).alias("n"),
         ).collect()
     }
-    assert got == {"k": ("{A,B,NULL}", "{A,A,B,NULL,NULL}", "A*2,B*1,NULL*2", 5), "n": ("{NULL}", "{NULL}", "NULL*1", 1)}
+    assert got == {"k": ("{A,B,NULL}", "A*2,B*1,NULL*2", 5), "n": ("{NULL}", "NULL*1", 1)}
+    items = sorted((r["k"], r["item"] or "") for r in extract.repeated_items(names).collect())
+    assert items == [("k", ""), ("k", ""), ("k", "A"), ("k", "A"), ("k", "B"), ("n", "")]
 
 
-def test_crowded_group_is_written_with_counts(spark):
+def test_crowded_group_is_whole(spark):
     rows = spark.range(30_000).select(F.lit("k").alias("k"), F.lit("A").alias("c"))
     names = extract.names_with_counts(rows, ["k"], "c")
-    r = names.select(extract.repeated_literal(F.col("names")), extract.counted_text(F.col("names"))).first()
-    assert tuple(r) == (None, "A*30000")
+    r = names.select(extract.counted_text(F.col("names")), extract.name_total(F.col("names"))).first()
+    assert tuple(r) == ("A*30000", 30_000)
+    assert extract.repeated_items(names).where("item = 'A'").count() == 30_000
 
 
 def test_levels_may_share_a_label(spark, sf_dir):
