@@ -24,7 +24,7 @@ from tallymap.llm.tables import map_rows
 KINDS = ("assign", "access", "hex", "novel")
 
 #: Bytes added per character from which a candidate is reported.
-NOVELTY = 0.45
+NOVELTY = 0.7
 #: Characters of text on each side that count as surrounding code.
 AROUND = 200
 #: A candidate begins at most this many characters behind the sensitive word.

@@ -72,8 +72,9 @@ class Model:
 def _grams(texts: list[str]):
     """Buckets of all n-grams, one order after the other, with the text of each.
 
-    Texts stand behind each other with more blank places between them than an n-gram is long, so
-    no n-gram has characters of two texts; those with blank places mark beginnings and ends.
+    Texts stand behind each other with blank places between them, as many as the longest n-gram. One that begins
+    with the last blank place before a text marks its beginning, one that ends with blank places its end; those
+    that begin behind a text's end stand for nothing and get one bucket.
     """
     gap = "\0" * max(ORDERS)
     joined = np.frombuffer((gap + gap.join(texts) + gap).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -82,6 +83,7 @@ def _grams(texts: list[str]):
     begin = len(gap) - 1  # one blank place before the first character counts
     codes = joined[begin:]
     n = len(owner)
+    behind = (np.cumsum(lengths)[:, None] - np.arange(1, len(gap))).ravel()
     hashed = np.zeros(n, dtype=np.uint32)
     for k in range(max(ORDERS)):
         part = codes[k : k + n]
@@ -91,7 +93,9 @@ def _grams(texts: list[str]):
         if k + 1 in ORDERS:
             spread = hashed ^ (hashed >> np.uint32(15))
             spread = (spread * np.uint32(0x2C1B3C6D) + np.uint32(k)) * np.uint32(0x297A2D39)
-            yield spread >> np.uint32(32 - BITS), owner
+            spread >>= np.uint32(32 - BITS)
+            spread[behind] = 0
+            yield spread, owner
 
 
 def _slices(texts: list[str]):
