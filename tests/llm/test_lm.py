@@ -1,0 +1,91 @@
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tallymap.llm import lmscore
+from tallymap.llm.tables import table
+
+from .helpers import LOW, odd_documents, odd_rows, words
+
+
+def plain(rows):
+    """(held out, tokens, known, N, base score) of each (doc_id, text)."""
+    tokens = [[*words((t or "").translate(LOW)), None] for _, t in rows]
+    held = [zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2 for d, _ in rows]
+    count = Counter()
+    for t, h in zip(tokens, held, strict=True):
+        if not h:
+            count.update(t)
+    n, v = sum(count.values()), len(count)
+    return [
+        (h, len(t), sum(count[w] > 0 for w in t), n, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t))
+        for t, h in zip(tokens, held, strict=True)
+    ]
+
+
+def compare(rows, got):
+    def key(r):
+        return (-1 if r[0] is None else r[0], r[1], r[2], r[5])
+
+    expected = sorted(((d, *p) for (d, _), p in zip(rows, plain(rows), strict=True)), key=lambda r: key((r[0], r[1], r[2], 0, 0, r[5])))
+    found = sorted((tuple(r)[:6] for r in got), key=lambda r: key(r))
+    for e, f in zip(expected, found, strict=True):
+        assert e[:5] == f[:5] and math.isclose(e[5], f[5], rel_tol=1e-9, abs_tol=1e-9), (e, f)
+
+
+def test_exact_counts_and_better_than_the_base(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = lmscore.lm_scores(docs).collect()
+    compare(rows, got)
+    for held in (True, False):
+        own = [r for r in got if r["held_out"] == held]
+        assert sum(r["score"] for r in own) > sum(r["base_score"] for r in own)
+    assert all(r["score"] <= 0 for r in got)
+
+
+def test_small_chunks_and_few_frequent_tokens_change_nothing(spark, monkeypatch):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    whole = {r["doc_id"]: r for r in lmscore.lm_scores(docs).collect()}
+    monkeypatch.setattr(lmscore, "CHUNK_BYTES", 5000)
+    monkeypatch.setattr(lmscore, "FREQUENT", 50)
+    for r in lmscore.lm_scores(docs.repartition(3)).collect():
+        other = whole[r["doc_id"]]
+        assert r["n_known"] == other["n_known"] and math.isclose(r["base_score"], other["base_score"], rel_tol=1e-9)
+
+
+def test_filter_has_all_entries_and_few_others():
+    draw = np.random.default_rng(3)
+    keys = draw.integers(0, 2**64, 20_000, dtype=np.uint64)
+    counts = np.where(draw.random(20_000) < 0.7, 1, draw.integers(1, 5000, 20_000))
+    part = lmscore._range(keys, 4)
+    segments = [lmscore.fill_segment([(keys[part == r], counts[part == r], lmscore._ONE)], 8).tobytes() for r in range(4)]
+    held = lmscore.LogFilter(segments)
+    found = held.counts(keys, lmscore._ONE)
+    level = lmscore.levels(counts)
+    assert (found >= np.exp2(level - 1) * 0.999).all()  # never below the level
+    assert (lmscore.levels(np.floor(found)) == level).mean() > 0.95
+    others = held.counts(draw.integers(0, 2**64, 20_000, dtype=np.uint64), lmscore._ONE)
+    assert (others > 0).mean() < 0.04
+    assert lmscore.levels(np.array([0, 1, 2, 3, 4, 7, 8])).tolist() == [0, 1, 2, 2, 3, 3, 4]
+
+
+def test_filter_grows_with_the_corpus_up_to_its_bound(monkeypatch):
+    keys = np.arange(1000, dtype=np.uint64)
+    small = lmscore.fill_segment([(keys, np.ones(1000), lmscore._ONE)], 8)
+    large = lmscore.fill_segment([(np.arange(4000, dtype=np.uint64), np.ones(4000), lmscore._ONE)], 8)
+    assert len(large) == 4 * len(small) == 4000
+
+
+def test_odd_rows(spark):
+    rows = [(r[0], r[1]) for r in odd_rows()]
+    got = lmscore.lm_scores(odd_documents(spark)).collect()
+    compare(rows, got)
+    assert lmscore.lm_scores(odd_documents(spark, empty=True)).count() == 0
+    only_held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    alone = odd_documents(spark).where("doc_id = 1").withColumn("doc_id", F.lit(only_held))
+    row = lmscore.lm_scores(alone).first()
+    assert row["train_tokens"] == 0 and row["n_known"] == 0 and row["base_score"] == 0 and math.isfinite(row["score"])
