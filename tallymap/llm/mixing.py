@@ -36,6 +36,8 @@ MOST = 3.0
 #: Relative difference from every target at which the iteration ends.
 CLOSE = 1e-9
 TURNS = 100
+#: Times that what rounding leaves over is made up for.
+SETTLED = 3
 #: Documents of a cell that are ranked together.
 RANKED = 500
 
@@ -117,13 +119,14 @@ def multipliers(cells: DataFrame, state: DataFrame, most: float = MOST) -> DataF
 
 
 def _settled(cells: DataFrame, most: float) -> DataFrame:
-    """What rounding leaves a source short of or above its target is made up for by one document of about that
-    size, if that comes nearer."""
+    """What rounding leaves a source short of or above its target is made up for by one copy more or less of a document of
+    about that size, if that comes nearer. Where ``extra`` is negative, so many documents get one copy less."""
     all_of = Window.partitionBy("sid")
     off = F.col("target") - F.sum(F.col("size") * (F.col("n") * F.col("base") + F.col("extra"))).over(all_of)
     cells = cells.withColumn("off", off).withColumn("gap", F.abs(F.abs("off") - F.col("size")))
-    more = (F.col("off") > 0) & (F.col("extra") < F.col("n")) & (F.col("base") < F.floor(F.lit(most)))
-    fits = (more | ((F.col("off") < 0) & (F.col("extra") > 0))) & (F.col("gap") < F.abs("off"))
+    more = (F.col("off") > 0) & (F.col("extra") < F.col("n")) & ((F.col("base") < F.floor(F.lit(most))) | (F.col("extra") < 0))
+    less = (F.col("off") < 0) & ((F.col("extra") > 0) | ((F.col("base") > 0) & (F.col("extra") > -F.col("n"))))
+    fits = (more | less) & (F.col("gap") < F.abs("off"))
     best = F.min(F.when(fits, F.struct("gap", "size"))).over(all_of)
     chosen = fits & (F.col("size") == best["size"])
     extra = F.col("extra") + F.when(chosen, F.signum("off")).otherwise(0).cast("long")
@@ -157,7 +160,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: flo
     rated = rated.select(
         "source", "sid", "size", "n", "source_size", "target", "rate", F.floor("rate").alias("base"), extra.alias("extra")
     )
-    for turn in range(2):
+    for turn in range(SETTLED):
         rated = write_stage(_settled(rated, most), f"rates-{turn}")
     rated = rated.withColumn("parts", F.ceil(F.col("n") / RANKED))
 
@@ -173,7 +176,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: flo
     held = held.withColumn("earlier", F.coalesce(F.sum("held").over(earlier), F.lit(0))).drop("held")
     rank = F.row_number().over(Window.partitionBy("sid", "size", "part").orderBy("h", "doc_id"))
     ranked = placed.join(held, ["sid", "size", "part"]).withColumn("place", F.col("earlier") + rank)
-    copies = F.col("base") + F.when(F.col("place") <= F.col("extra"), 1).otherwise(0)
+    one = F.when(F.col("place") <= F.abs("extra"), F.signum("extra")).otherwise(0)
+    copies = F.col("base") + one
     return ranked.select("doc_id", "source", "size", "source_size", "target", "rate", copies.cast("long").alias("copies"))
 
 
