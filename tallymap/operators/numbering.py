@@ -39,7 +39,9 @@ def _staged_in_order(df: DataFrame, order_by: Sequence[Column | str]) -> DataFra
 
 
 def _file_offsets(per_file: DataFrame, amount: str) -> DataFrame:
-    before = Window.orderBy(_FILE).rowsBetween(Window.unboundedPreceding, -1)
+    # files are numbered by Spark; from the hundred-thousandth on, names no longer sort as numbers do
+    part = F.regexp_extract(_FILE, r"part-(\d+)", 1).cast("bigint")
+    before = Window.orderBy(part, _FILE).rowsBetween(Window.unboundedPreceding, -1)
     return per_file.select(_FILE, F.coalesce(F.sum(amount).over(before), F.lit(0)).alias(_SHIFT))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 from tallymap.plans import sample_tables as st
-from tallymap.plans.queries import BLANKS, DATE, FIRST, REQUEST_BOX, SECOND, TERRITORY, ZOOMS
+from tallymap.plans.queries import BLANKS, DATE, EXPORT_LIMIT, FIRST, REQUEST_BOX, SECOND, TERRITORY, ZOOMS
 
 GEN = st.GENERATOR_COLUMNS
 TEXTS = (
@@ -294,7 +294,8 @@ def emitted(gates: str) -> str:
 
 # Symbol of what is shown: own symbol of geometries with points, the general one of small fragments.
 _SYMBOL = "CASE WHEN shape = 'point' THEN 'square/3BB9FF' WHEN shape = 'unchanged' AND geom_type IN ('Point', 'MultiPoint', 'GeometryCollection') THEN 'circle/0000FF' END"
-FRAGMENTS = fragmented(GATED)
+# MultiPoints alone, taken before anything is clustered.
+MULTIPOINTS = fragmented(gated(WIDE, ZOOMS, "geom_type = 'MultiPoint'"))
 
 _WIDENED = ", ".join(
     f"CASE WHEN e{i}.xmin IS NOT NULL THEN e{i}.{s} {'-' if s.endswith('min') else '+'} z.reach END AS e{i}{s}"
@@ -576,9 +577,11 @@ ORACLE: dict[str, str] = {
     "fd_conflict_pairs_same_si": f"WITH {FCN} " + _conflicts("numero_dossier", (*_KEY, "si_metier")),
     "bbox_overlap_join": f"WITH {BOXED} SELECT {_A_SIDES}, {_B_SIDES}, ba.n AS a_n, bb.n AS b_n, {_COMMON} AS overlap_m2 FROM ba JOIN bb ON {_MEET}",
     "bbox_overlap_area": f"WITH {BOXED} SELECT {_A_SIDES}, ba.n AS a_n, sum(bb.n)::BIGINT AS n_meeting, sum(bb.n * {_COMMON}) AS overlap_m2 FROM ba JOIN bb ON {_MEET} GROUP BY ALL",
-    "extract_with_footprint": f"""WITH {FLAT}, shape AS (SELECT mesure_id, geometry FROM d_emprises_mesures JOIN d_emprises ON d_emprises.id = emprise_id),
- one AS (SELECT DISTINCT {_ATTRIBUTES}, geometry, commune FROM flat JOIN shape USING (mesure_id) JOIN town USING (mesure_id) WHERE has_topic)
- SELECT {_ATTRIBUTES}, {_repeated('commune')} AS communes, 2154::BIGINT AS srid FROM one GROUP BY {_ATTRIBUTES}, geometry""",
+    "extract_with_footprint": f"""WITH {FLAT}, shape AS (SELECT mesure_id, kind <> 0 AS square, x, y FROM d_emprises_mesures JOIN d_emprises ON d_emprises.id = emprise_id),
+ one AS (SELECT DISTINCT {_ATTRIBUTES}, square, x, y, commune FROM flat JOIN shape USING (mesure_id) JOIN town USING (mesure_id) WHERE has_topic),
+ many AS (SELECT {_ATTRIBUTES}, square, x::DOUBLE AS x, y::DOUBLE AS y, {_repeated('commune')} AS communes FROM one GROUP BY {_ATTRIBUTES}, square, one.x, one.y)
+ SELECT {_ATTRIBUTES}, communes, CASE WHEN square THEN 'Polygon' ELSE 'Point' END AS shape, CASE WHEN square THEN 5 ELSE 1 END::BIGINT AS n_positions,
+ round(lon, 7) AS lon, round(lat, 7) AS lat FROM {lambert_inverse('many', 'x', 'y', 'lon', 'lat')}""",
     "extract_by_commune": f"""WITH {FLAT}, n AS (SELECT {_ATTRIBUTES}, cx, cy, commune, count(*) AS c FROM flat JOIN town USING (mesure_id)
   WHERE mesure_id NOT IN (SELECT mesure_id FROM d_emprises_mesures) GROUP BY ALL)
  SELECT {_ATTRIBUTES}, cx, cy, sum(c)::BIGINT AS n_communes, string_agg(coalesce(commune, 'NULL') || '*' || c, ',' ORDER BY commune NULLS LAST) AS communes FROM n GROUP BY {_ATTRIBUTES}, cx, cy""",
@@ -621,7 +624,7 @@ ORACLE: dict[str, str] = {
     "generalise_single": f"WITH {GATED} SELECT num, zoom, geom_type, {_ROUNDED_SIDES} FROM z WHERE display = 'box'",
     "cluster_elements": f"WITH {CLUSTERS} SELECT num, zoom, geom_type, first, {_ROUNDED_SIDES} FROM ({_unfold('c', 'g')})",
     "merge_overlaps": f"WITH {WIDENED} SELECT num, zoom, geom_type, first, {_ROUNDED_SIDES} FROM ({_unfold('mw', 'q')})",
-    "keep_identical_multipoint": f"WITH {FRAGMENTS} SELECT z.num, z.zoom, 'circle/0000FF' AS symbol FROM z JOIN n USING (rid, zoom) WHERE z.geom_type = 'MultiPoint' AND n_groups = 3",
+    "keep_identical_multipoint": f"WITH {MULTIPOINTS} SELECT z.num, z.zoom, 'circle/0000FF' AS symbol FROM z JOIN n USING (rid, zoom) WHERE z.geom_type = 'MultiPoint' AND n_groups = 3",
     "emit_fragments": f"WITH {emitted(GATED)} SELECT num, zoom, geom_type, agg, shape, {_ROUNDED_SIDES} FROM shown",
     "marker_style": f"""WITH {emitted(gated(BOTH_PLACED, (-1, 8), 'geometry IS NOT NULL'))}
  SELECT source, 'direct' AS georef, zoom, shown.geom_type, shape, {_SYMBOL.replace('geom_type', 'shown.geom_type')} AS symbol, count(*) AS n FROM shown JOIN r USING (rid) GROUP BY ALL
@@ -630,6 +633,11 @@ ORACLE: dict[str, str] = {
     "export_map_features": f"""WITH {emitted(gated(PLACED, (8,), f'xmin <= {_XMAX} AND xmax >= {_XMIN} AND ymin <= {_YMAX} AND ymax >= {_YMIN}'))}
  SELECT shown.num, projet, 'agg_' || agg AS agg, {_SYMBOL.replace('geom_type', 'shown.geom_type')} AS symbol,
  CASE shape WHEN 'unchanged' THEN shown.geom_type WHEN 'point' THEN 'Point' ELSE 'Polygon' END AS shown_type FROM shown JOIN r USING (rid)""",
+    "export_dissolved": f"""WITH {A}, s AS (SELECT num, n_positions, CASE WHEN l_linenumber <> 7 THEN 1 WHEN l_suppkey % 2 = 0 THEN 3 ELSE 2 END AS members FROM a WHERE geometry IS NOT NULL),
+ b AS (SELECT *, coalesce(sum(members) OVER (ORDER BY num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
+ SELECT num, n_positions AS nbre_of_pos, unnest(range(members)) AS member FROM b WHERE before < {EXPORT_LIMIT}""",
+    "export_measure": f"""WITH {A}, s AS (SELECT *, row_number() OVER (ORDER BY num) AS k FROM a WHERE geometry IS NOT NULL)
+ SELECT num, projet, geom_type AS shape, n_positions AS nbre_of_pos FROM s WHERE num = (SELECT max(num) FROM a WHERE geometry IS NOT NULL)""",
     "geodesic_measures": GEODESIC,
     "validate_schema": f"WITH {_FV} " + " UNION ALL ".join(
         [_rule(f"required:{c}", "false") for c in ("mesure_id", "projet", "categorie", "communes", "procedure", "classe")]

@@ -28,6 +28,8 @@ FIRST, SECOND = "cpii", "igngp"
 ZOOMS = (-1, 6, 8, 10, 11, 13, 14)
 # Expected territory in degrees, as a box.
 TERRITORY = (-5.5, 41.0, 10.0, 51.5)
+# Features after which the limited export ends.
+EXPORT_LIMIT = 500
 REQUEST_BOX = (-0.8, 45.7, -0.4, 46.1)
 FEED_COLUMNS = ("mesure_id", *feed.PROPERTIES, "geometry")
 TABLE_COLUMNS = ("mesure_id", *TEXT_ATTRIBUTES, "geometry")
@@ -77,7 +79,7 @@ def loaded_second(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def loaded_by_commune(spark: SparkSession, sf_dir: str) -> DataFrame:
     def loaded(source: str, dropped: bool) -> DataFrame:
-        rows = st.spread_few_files(st.sample(spark, sf_dir, st.by_commune(dropped)), "mesure_id")
+        rows = st.sample(spark, sf_dir, st.by_commune(dropped))
         return load.load_table(rows, source, DATE, "commune", method="planar")
 
     return loaded(FIRST, False).unionByName(loaded(SECOND, True))
@@ -630,8 +632,12 @@ def bbox_overlap_area(spark, sf_dir):
 
 def extract_with_footprint(spark, sf_dir):
     rows = extract.extract_with_footprint(st.business(spark, sf_dir))
-    # The digest stands for the shape; what a check can see of it is how many groups there are.
-    return rows.drop("geom_md5").withColumn("srid", F.col("srid").cast("bigint"))
+    shape = rows.withColumn("_shape", g.parse_geojson(F.col("footprint")))
+    start = g.first_position(F.col("_shape"))
+    return shape.select(
+        *(c for c in rows.columns if c not in ("geom_md5", "footprint")), F.col("_shape.type").alias("shape"),
+        g.count_positions(F.col("_shape")).alias("n_positions"), F.round(start["x"], 7).alias("lon"), F.round(start["y"], 7).alias("lat"),
+    )
 
 
 def extract_by_commune(spark, sf_dir):
@@ -853,6 +859,26 @@ def export_map_features(spark, sf_dir):
         parsed["type"].alias("shown_type"))
 
 
+def export_dissolved(spark, sf_dir):
+    """Collections as one feature per member, until so many features are out; no generalisation."""
+    shown = export.export_map_features(direct_a(spark, sf_dir), zoom=-1, dissolve=True, limit=EXPORT_LIMIT)
+    return shown.select(
+        "num", F.get_json_object("feature", "$.properties.nbreOfPos").cast("bigint").alias("nbre_of_pos"),
+        F.col("member").cast("bigint").alias("member"),
+    )
+
+
+def export_measure(spark, sf_dir):
+    """The measure with the largest number, as delivered."""
+    rows = direct_a(spark, sf_dir)
+    largest = rows.where(F.col("geom").isNotNull()).agg(F.max("num")).first()[0]
+    shown = export.export_measure(rows, largest)
+    return shown.select(
+        "num", "projet", F.get_json_object("feature", "$.geometry.type").alias("shape"),
+        F.get_json_object("feature", "$.properties.nbreOfPos").cast("bigint").alias("nbre_of_pos"),
+    )
+
+
 # ---- quality rules ----------------------------------------------------------------------
 
 
@@ -904,7 +930,8 @@ QUERIES: dict[str, Query] = {
         distinct_geometries, distinct_measures, check_dependencies, max_area_measures, array_agg_distinct,
         array_agg_all, measures_per_year, kpi_summary, level_histogram, rank_by_area, limit_features,
         union_reports, generalise_gate, generalise_single, cluster_elements, merge_overlaps,
-        keep_identical_multipoint, emit_fragments, marker_style, export_map_features, validate_schema,
+        keep_identical_multipoint, emit_fragments, marker_style, export_map_features, export_dissolved,
+        export_measure, validate_schema,
         compare_attribute_syntax,
     )
 }

@@ -21,16 +21,7 @@ def read_tables(spark: SparkSession, sf_dir: str) -> None:
         return
     _registered[session] = sf_dir
     for name in SOURCE_TABLES:
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        if name == "lineitem":
-            df = spread_few_files(df, "l_orderkey", "l_partkey", "l_suppkey")
-        df.createOrReplaceTempView(f"tm_{name}")
-
-
-def spread_few_files(df: DataFrame, *keys: str) -> DataFrame:
-    """One small file is one task; large tables come in many files and are left as they lie."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"tm_{name}")
 
 
 def sample(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -231,8 +222,11 @@ UNION SELECT l_orderkey * 8 + l_linenumber, (s_nationkey + 1) % 25
     "d_emprises_mesures": """SELECT DISTINCT l_orderkey * 8 + l_linenumber AS mesure_id, l_partkey AS emprise_id
  FROM @lineitem WHERE l_linenumber <= 4 AND l_partkey % 3 <> 0""",
     # Two footprints in every seven repeat a shape that another one has.
-    "d_emprises": """SELECT p_partkey AS id, concat('{"type":"Point","coordinates":[', cast(400000 + (p_partkey - p_partkey % 7 % 3) * 10 as string), ',', cast(6500000 + p_size * 100 as string), ']}') AS geometry,
- CASE WHEN p_partkey % 19 = 0 THEN 32740 ELSE 2154 END AS srid FROM @part""",
+    # Points, squares, and squares whose ring isn't closed.
+    "d_emprises": """SELECT id, srid, kind, x, y, CASE WHEN kind = 0 THEN concat('{"type":"Point","coordinates":[', x, ',', y, ']}')
+  ELSE concat('{"type":"Polygon","coordinates":[[[', x, ',', y, '],[', x + 40, ',', y, '],[', x + 40, ',', y + 40, '],[', x, ',', y + 40, ']', CASE WHEN kind = 1 THEN concat(',[', x, ',', y, ']') ELSE '' END, ']]}') END AS geometry
+ FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 19 = 0 THEN 32740 ELSE 2154 END AS srid, CASE WHEN p_partkey % 5 <> 0 THEN 0 WHEN p_partkey % 25 = 0 THEN 2 ELSE 1 END AS kind,
+  400000 + (p_partkey - p_partkey % 7 % 3) * 10 AS x, 6500000 + p_size * 100 AS y FROM @part)""",
     "d_mesure_categories": "SELECT * FROM (VALUES (1, 'C'), (2, 'C1'), (3, 'C1.a'), (4, 'C2'), (5, 'R1'), (6, 'C2.b.1'), (7, 'A')) AS t(id, code)",
     "d_classification": """SELECT * FROM (VALUES (1, 'Compensation', 'T1', 'K1', 'S1'), (2, 'Compensation', 'T1', 'K2', 'S2'),
  (3, 'Compensation', 'T2', 'K1', 'S3'), (4, 'Compensation', 'T2', 'K2', 'S4'), (5, 'Reduction', 'T3', 'K3', 'S5'),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymap.operators.numbering import dense_number, running_total
+from tallymap.session import write_stage
 
 # Features per page, and the layers of a feed in reading order.
 PAGE_SIZE = 1000
@@ -46,8 +47,7 @@ PAGE = T.StructType(
 def read_pages(spark: SparkSession, path: str, one_document_per_file: bool = False) -> DataFrame:
     """Pages below ``path/layer=<name>/``: one document per line, or one per file.
 
-    Pages come in order of ``startIndex``, and of file name where they do not tell it; several
-    pages in one file must tell it."""
+    Pages come in order of ``startIndex``, and of their place in the files where they do not tell it."""
     return (
         spark.read.schema(PAGE)
         .option("multiLine", one_document_per_file)
@@ -74,15 +74,13 @@ def page_features(pages: DataFrame) -> DataFrame:
     Only the page headers are ordered and summed up; a feature's number is the number of
     features on earlier pages plus its place on its own page.
     """
+    # written once, so that a page keeps the key it is given
+    pages = write_stage(pages.withColumn("page", F.monotonically_increasing_id()), "feed-pages")
     headers = pages.select(
-        layer_rank(F.col("layer")).alias("rank"), "layer", "startIndex", "page_file",
-        F.size("features").cast("bigint").alias("n"),
-    )
-    key = ["layer", "startIndex", "page_file"]
-    before = running_total(headers, ["rank", "startIndex", "page_file"], "n", "before").select(*key, "before")
-    features = pages.join(before, key).select(
-        "layer", "before", F.posexplode("features").alias("place", "f")
+        layer_rank(F.col("layer")).alias("rank"), "startIndex", "page_file", "page", F.size("features").cast("bigint").alias("n")
     )
+    before = running_total(headers, ["rank", "startIndex", "page_file", "page"], "n", "before").select("page", "before")
+    features = pages.join(before, "page").select("layer", "before", F.posexplode("features").alias("place", "f"))
     return features.select((F.col("before") + F.col("place") + 1).alias("num"), "layer", *_feature_columns())
 
 
