@@ -42,6 +42,23 @@ def test_meeting_pairs_against_brute_force(spark, base, block):
     assert set(got) == {(p[0], q[0]) for p, q in itertools.product(a, b) if meets(p, q)}
 
 
+@pytest.mark.parametrize("sides", ["left", "right", "both"])
+def test_one_crowded_cell(spark, sides):
+    many, few = boxes(5, 300, False), boxes(6, 40, False)
+    many = [(k, x / 1000, y / 1000, x / 1000 + 0.05, y / 1000 + 0.05) for k, x, y, _, _ in many]
+    few = [(k, x / 1000, y / 1000, x / 1000 + 0.05, y / 1000 + 0.05) for k, x, y, _, _ in few]
+    a, b = {"left": (many, few), "right": (few, many), "both": (many, many)}[sides]
+    pairs = spatial.meeting_pairs(frame(spark, a), frame(spark, b), 10.0, keep=["k"], block=25)
+    got = [(r["a_k"], r["b_k"]) for r in pairs.collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(p[0], q[0]) for p, q in itertools.product(a, b) if meets(p, q)}
+
+
+def test_from_pairs_to_measures(spark):
+    rows = spark.createDataFrame([(1, (0.0, 0.0, 1.0, 1.0)), (2, (0.0, 0.0, 1.0, 1.0)), (3, None)], "num int, bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>")
+    assert sorted(r["num"] for r in spatial.box_members(rows).collect()) == [1, 2]
+
+
 def test_pairs_of_one_side(spark):
     a = boxes(3, 150, True)
     pairs = spatial.meeting_pairs(frame(spark, a), None, 4.0, keep=["k"], a_before_b="k")

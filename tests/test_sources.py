@@ -272,3 +272,66 @@ def test_repeated_links_and_dossiers_count_as_often_as_they_stand(spark, sf_dir)
     assert two[False] == (one[False][0], 2 * one[False][1])
     a, b = (extract.extract_with_footprint(t) for t in (plain, doubled))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+# ---- points of the last review ----------------------------------------------------------
+
+
+def test_dump_with_other_columns_and_a_short_line(spark, tmp_path):
+    path = tmp_path / "dump.sql"
+    path.write_text("SET x = 1;\n\nCOPY public.t (a, \"b\", c) FROM stdin;\n1\t2\t3\n4\t5\n6\t\\N\tx\\ty\n\\.\n\nGRANT ALL ON t TO u;\n")
+    assert dumps.copy_columns(spark, str(path)) == ("a", "b", "c")
+    assert sorted(map(tuple, dumps.read_copy_dump(spark, str(path)).collect())) == [("1", "2", "3"), ("6", None, "x\ty")]
+    assert [(r["value"], r["fields"]) for r in dumps.rejected_lines(spark, str(path)).collect()] == [("4\t5", 2)]
+
+
+def test_pages_that_tell_nothing_about_themselves(spark, tmp_path):
+    d = tmp_path / "layer=emprises_commune"
+    d.mkdir()
+    lines = [json.dumps({"features": json.loads(page(3, 0, [p]))["features"]}) for p in ("p1", "p2", "p3")]
+    (d / "a.json").write_text("\n".join(lines))
+    got = {r["num"]: r["projet"] for r in feed.page_features(feed.read_pages(spark, str(tmp_path))).collect()}
+    assert got == {1: "p1", 2: "p2", 3: "p3"}
+
+
+def _collections(spark, n):
+    text_columns = {c: F.lit(None).cast("string") for c in feed.PROPERTIES if c != "type_mesure"}
+    geometry = (
+        '{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[400000,6500000]},'
+        '{"type":"Point","coordinates":[400010,6500000]},{"type":"LineString","coordinates":[[400000,6500000],[400100,6500100]]}]}'
+    )
+    rows = spark.range(1, n + 1).select(F.col("id").alias("mesure_id"), F.lit(geometry).alias("geometry"))
+    return load.load_table(rows.withColumns(text_columns).withColumn("type", F.lit("t")), "cpii", "20190227", "direct")
+
+
+def test_limited_export_has_all_members_of_a_measure(spark):
+    shown = export.export_map_features(_collections(spark, 3), zoom=-1, dissolve=True, limit=4).collect()
+    assert sorted(r["num"] for r in shown) == [1, 1, 1, 2, 2, 2]
+    assert {json.loads(r["feature"])["properties"]["nbreOfPos"] for r in shown} == {4}
+
+
+def test_footprints_are_repaired_and_in_lonlat(spark, sf_dir):
+    from tallymap.plans import sample_tables as st
+
+    tables = st.business(spark, sf_dir)
+    shapes = [json.loads(r["footprint"]) for r in extract.extract_with_footprint(tables).select("footprint").distinct().collect()]
+    assert {s["type"] for s in shapes} == {"Point", "Polygon"}
+    for s in shapes:
+        ring = s["coordinates"][0] if s["type"] == "Polygon" else [s["coordinates"]]
+        assert all(-6 < x < 10 and 41 < y < 52 for x, y in ring)
+        assert s["type"] == "Point" or (len(ring) == 5 and ring[0] == ring[-1])
+
+
+def test_equal_areas_spread_over_ranges(spark):
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 5 < 3, 0.0).otherwise(F.rand(3) * 100).alias("area_ha"))
+    held = stats.rank_by_area(rows.repartition(16)).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    counts = [r["count"] for r in held]
+    assert len(counts) > 2 and max(counts) <= 3 * sum(counts) / len(counts)
+
+
+def test_box_without_coordinates_is_null(spark):
+    from tallymap.functions import geometry as g
+
+    texts = ['{"type":"Point","coordinates":[]}', '{"type":"Point","coordinates":[1,2]}', '{"type":"MultiPoint","coordinates":[]}']
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(g.geometry_box(g.parse_geojson(F.col("t"))).alias("b")).collect()
+    assert [r["b"] and tuple(r["b"]) for r in rows] == [None, (1.0, 2.0, 1.0, 2.0), None]
