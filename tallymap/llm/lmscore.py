@@ -43,7 +43,7 @@ FILTER_BYTES = 1 << 30
 #: Weight of the single word's probability, in counts.
 M = 8.0
 #: Text of a chunk; it also has at most 65,535 documents.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 
 _END = np.uint64(0x632BE59BD9B4E019)
 _ONE = np.uint64(0xA24BAED4963EE407)
@@ -356,7 +356,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     segments = reduced.where(F.col("kind") == _SEGMENT).select("range", "chunk", "a").toPandas().set_index("range")
     empty = np.zeros(8, dtype=np.uint8).tobytes()
     v = int(segments["chunk"].sum()) + int((counts > 0).sum())
-    log_filter = spark.sparkContext.broadcast([bytes(segments["a"].get(r, empty)) for r in range(ranges)])
+    log_filter = spark.sparkContext.broadcast(LogFilter([bytes(segments["a"].get(r, empty)) for r in range(ranges)]))
     del segments
     exact = reduced.where(F.col("kind") != _SEGMENT).groupBy("chunk").applyInPandas(
         _documents, "doc_id long, held_out boolean, hash long, n_tokens long, n_known long, logs double"
@@ -364,7 +364,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     exact = write_stage(exact, "exact-sums").dropDuplicates(["doc_id", "hash"])
 
     def score(batch):
-        model = _opened(log_filter)
+        model = log_filter.value
         texts = _encoded(batch.column(2))
         ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a, b in slices(texts):
@@ -384,18 +384,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             scores = np.add.reduceat(np.log10(p), first[:-1])
             yield from zip(ids[a:b], hashes[a:b], scores.tolist(), strict=True)
 
-    scored = map_rows(given.select("doc_id", "hash", "text"), score, "d long, h long, score double")
+    # written at once, so that the workers can let go of the filter
+    scored = write_stage(map_rows(given.select("doc_id", "hash", "text"), score, "d long, h long, score double"), "scores")
+    log_filter.unpersist()
     joined = scored.join(exact, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("hash")))
     base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
     return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
-
-_filters: dict[int, LogFilter] = {}
-
-
-def _opened(held) -> LogFilter:
-    """The worker's filter for a broadcast, put together once."""
-    if id(held) not in _filters:
-        _filters.clear()
-        _filters[id(held)] = LogFilter(held.value)
-    return _filters[id(held)]

@@ -138,12 +138,14 @@ def _packed(capacity: int, first_round: bool):
 def pack_documents(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """The pieces with sequence_id and offset: gapless in each sequence, which holds at most ``capacity``."""
     spark = pieces.sparkSession
-    keep = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    # pandas would turn ids next to nulls into floating point
+    pieces = pieces.withColumn("known", F.col("doc_id").isNotNull()).fillna(0, ["doc_id"])
+    keep = "doc_id long, piece int, start long, length long, ids_crc32 long, known boolean"
     schema = f"{keep}, grp long, bin long, offset long, fill long, sequence_id long, fresh boolean, open boolean, gap long"
     groups = max(1, -(-pieces.count() // group))
     key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
     zero = [F.lit(0).cast("long").alias(c) for c in ("bin", "offset", "fill", "sequence_id")]
-    rows = pieces.select("*", key.alias("grp"), *zero, F.lit(True).alias("fresh"), F.lit(True).alias("open"), F.lit(0).cast("long").alias("gap"))
+    rows = pieces.select(*(c.split()[0] for c in keep.split(", ")), key.alias("grp"), *zero, F.lit(True).alias("fresh"), F.lit(True).alias("open"), F.lit(0).cast("long").alias("gap"))
     done: list[DataFrame] = []
     turn = 0
     while True:
@@ -167,7 +169,8 @@ def pack_documents(pieces: DataFrame, capacity: int = CAPACITY, group: int = GRO
     whole = done[0]
     for more in done[1:]:
         whole = whole.unionByName(more)
-    return whole.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    doc = F.when(F.col("known"), F.col("doc_id")).alias("doc_id")
+    return whole.select(doc, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def pack_texts(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:

@@ -30,6 +30,7 @@ def odd_rows() -> list[tuple]:
         (6, PLAIN, "en", "a", 5),
         (None, PLAIN + " more", "de", None, 9),
         (None, None, None, None, None),
+        (2**62 + 1, "large ids stay whole", "en", "a", 20),
         (7, "é日本 😀 z 'quote' <|endoftext|>", "fr", "é", 3),
         (8, "password = hunter22 and token: abc", "es", "a", 7),
         (9, PLAIN.replace("word3 ", "changed "), "en", "b", 5),
