@@ -473,6 +473,10 @@ ORACLE: dict[str, str] = {
     "list_deliveries": f"""WITH {D} SELECT DISTINCT 'mce' || source || delivery_date || georef AS table_name, source, delivery_date, georef FROM d""",
     "read_feature_pages": f"""WITH {FB}, l AS (SELECT *, {_LAYER} AS layer FROM fb)
  SELECT layer, row_number() OVER (ORDER BY {_LAYER_RANK}, {_ordered(FEED_TEXTS)}) AS num, {_FEED_LIST_TEXT} FROM l""",
+    "load_feed_pages": f"""WITH {FB}, l AS (SELECT *, {_LAYER} AS layer FROM fb)
+ SELECT row_number() OVER (ORDER BY {_LAYER_RANK}, {_ordered(FEED_TEXTS)}) AS num, mesure_id, projet, type_mesure AS type, geom_type, 'webmercator' AS repair_case, round(area_m2, 6) AS area_m2,
+ CASE WHEN geometry IS NOT NULL THEN round(degrees(xi / 6378137.0::DOUBLE), 7) END AS lon,
+ CASE WHEN geometry IS NOT NULL THEN round(degrees(2 * atan(exp(yi / 6378137.0::DOUBLE)) - {math.pi / 2!r}), 7) END AS lat FROM l""",
     "audit_page_completeness": f"""WITH {FB}, l AS (SELECT {_LAYER} AS layer, count(*) AS n FROM fb GROUP BY 1)
  SELECT layer, n AS announced, n AS features, ceil(n / 1000.0)::BIGINT AS pages, CASE WHEN n % 1000 = 0 THEN 1 ELSE 0 END::BIGINT AS empty_pages,
  ceil(n / 1000.0)::BIGINT AS pages_needed, true AS complete FROM l""",

@@ -199,6 +199,15 @@ def read_feature_pages(spark, sf_dir):
     )
 
 
+def load_feed_pages(spark, sf_dir):
+    """A delivery loaded from its pages, numbered across the layers, in Web Mercator as feeds give it."""
+    features = feed.page_features(feed.read_pages(spark, _pages(spark, sf_dir))).drop("layer")
+    loaded = load.load_feed(features, SECOND, DATE, "direct", method="planar")
+    return loaded.select(
+        "num", "mesure_id", "projet", "type", "geom_type", "repair_case", F.round("area_m2", 6).alias("area_m2"), *lonlat(F.col("geom"))
+    )
+
+
 def audit_page_completeness(spark, sf_dir):
     return feed.audit_pages(feed.read_pages(spark, _pages(spark, sf_dir)))
 
@@ -912,7 +921,7 @@ def compare_attribute_syntax(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        scan_delivery, list_deliveries, read_feature_pages, audit_page_completeness, read_copy_dump,
+        scan_delivery, list_deliveries, read_feature_pages, load_feed_pages, audit_page_completeness, read_copy_dump,
         decode_ewkb_points, read_geojson_table, load_overwrite, write_geojson, write_csv_report, table_profile,
         parse_pg_array, normalise_plus_arrays, rename_feed_columns, dedupe_paired_arrays, falsy_to_null,
         assign_num, fingerprint_md5, duration_label, classify_level, filter_compensation, lookup_measure,
