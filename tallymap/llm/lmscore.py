@@ -118,13 +118,24 @@ def frequent_tokens(given: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
                 total += len(tokens)
         often = {k: v for k, v in seen.items() if v >= total / (2 * FREQUENT)}
         if total:
-            yield pa.RecordBatch.from_pydict(
-                {"token": pa.array([None, *often], pa.int64()), "n": pa.array([total, *often.values()], pa.int64())}
-            )
-
-    sums = write_stage(given.mapInArrow(shares, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "token-shares")
-    total = (sums.where("token is null").first() or {"n": 0})["n"]
-    chosen = sums.where(F.col("token").isNotNull() & (F.col("n") >= total / (2 * FREQUENT))).toPandas()["token"]
+            # packed by ranges of hashes, so that a task puts out as many rows however many tokens it has
+            tokens = np.fromiter(often, dtype=np.int64, count=len(often)).astype(np.uint64)
+            numbers = np.fromiter(often.values(), dtype=np.int64, count=len(often))
+            own = _range(tokens, ranges)
+            yield pa.RecordBatch.from_pydict({
+                "range": pa.array(range(ranges), pa.int32()), "total": pa.array([total] * ranges, pa.int64()),
+                "tokens": pa.array([tokens[own == r].tobytes() for r in range(ranges)], pa.binary()),
+                "numbers": pa.array([numbers[own == r].tobytes() for r in range(ranges)], pa.binary()),
+            })
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        every, counts = _added([np.frombuffer(x, np.uint64) for x in rows["tokens"]], [np.frombuffer(x, np.int64) for x in rows["numbers"]])
+        often = counts >= rows["total"].sum() / (2 * FREQUENT)
+        return pd.DataFrame({"token": every[often].astype(np.int64)})
+
+    ranges = parts(given.sparkSession)
+    put = given.mapInArrow(shares, "range int, total long, tokens binary, numbers binary")
+    chosen = put.groupBy("range").applyInPandas(added, "token long").toPandas()["token"]
     chosen = np.sort(chosen.to_numpy(np.int64).astype(np.uint64))
     wanted = given.sparkSession.sparkContext.broadcast(chosen)
 
@@ -137,14 +148,22 @@ def frequent_tokens(given: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
                 tokens = _tokens(texts[a:b])[0]
                 total += len(tokens)
                 counts += np.bincount(_places(tokens, wanted.value), minlength=len(counts))
-        place = np.flatnonzero(counts[:-1])
+        # the last is the number of tokens; packed in as many pieces as there are ranges
+        counts[-1] = total
+        pieces = np.array_split(counts, ranges)
         yield pa.RecordBatch.from_pydict(
-            {"place": pa.array([-1, *place.tolist()], pa.int64()), "n": pa.array([total, *counts[place].tolist()], pa.int64())}
+            {"piece": pa.array(range(ranges), pa.int32()), "counts": pa.array([x.tobytes() for x in pieces], pa.binary())}
         )
 
-    found = given.mapInArrow(exact, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(len(chosen) + 1, dtype=np.int64)
-    counts[found["place"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)  # place -1 is the last
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, np.int64) for x in rows["counts"])
+        return pd.DataFrame({"piece": [int(rows["piece"].iloc[0])], "counts": [total.tobytes() if len(total) else b""]})
+
+    found = given.mapInArrow(exact, "piece int, counts binary").groupBy("piece").applyInPandas(summed, "piece int, counts binary")
+    found = found.toPandas().sort_values("piece")
+    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in found["counts"])])
+    if not len(counts):
+        counts = np.zeros(len(chosen) + 1, dtype=np.int64)
     return chosen, counts[:-1], int(counts[-1])
 
 
@@ -223,7 +242,7 @@ def _by_range(given: DataFrame, chosen: np.ndarray, counts: np.ndarray, ranges:
 
 def _added(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Different hashes in order and their summed counts."""
-    if not hashes:
+    if not sum(len(h) for h in hashes):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     every, number = np.concatenate(hashes), np.concatenate(counts).astype(np.int64)
     order = np.argsort(every)
