@@ -6,9 +6,9 @@ crc32(doc_id as text) modulo 7 isn't 2.
 The filter holds the counts c of single words and of pairs of neighbours (a text begins behind an end) as levels
 1 + floor(log2 c): an n-gram is entered once for each level up to its own, and looked up level by level until one is
 missing. It is built in segments by ranges of the hash, each from all counts of its range, and broadcast
-to the workers. BITS bits and PROBES places for each entry let 2 % of absent entries seem present. Its size follows the
-corpus up to FILTER_BYTES (n-grams have at most as many levels as tokens); beyond it entries get fewer bits each and are mistaken more
-often, none is left out. With c(.) read from the filter, N tokens and V different ones in training,
+to the workers. BITS bits and PROBES places for each entry let 2 % of absent entries seem present, at every size of the
+corpus: a filter above BROADCAST_BYTES is broadcast in slices of segments, one after the other, and each slice gives the
+levels of the n-grams in its ranges. With c(.) read from the filter, N tokens and V different ones in training,
 
     P(w) = (c(w) + 1) / (N + V + 1),    P(w | v) = (c(v w) + M P(w)) / (c(v) + M).
 
@@ -39,7 +39,8 @@ from tallymap.session import write_stage
 FREQUENT = 40_000
 BITS = 8
 PROBES = 5
-FILTER_BYTES = 1 << 30
+#: Bytes of the filter that are broadcast at once. Scores don't depend on it.
+BROADCAST_BYTES = 1 << 27
 #: Weight of the single word's probability, in counts.
 M = 8.0
 #: Text of a chunk; it also has at most 65,535 documents.
@@ -278,24 +279,34 @@ def fill_segment(entries: list[tuple[np.ndarray, np.ndarray, np.uint64]], bits_e
     return np.packbits(flags, bitorder="little")
 
 
+def middle(found: np.ndarray) -> np.ndarray:
+    """Estimated counts: the middle of the level found, on a logarithmic scale."""
+    low = np.exp2(np.maximum(found.astype(np.int64) - 1, 0))
+    return np.where(found > 0, np.sqrt(low * np.maximum(2 * low - 1, 1)), 0.0)
+
+
 class LogFilter:
-    """The segments behind each other; counts are read by probing level after level."""
+    """Segments behind each other, of all ranges or of some that follow ``first``; levels are read by probing one after the other."""
 
-    def __init__(self, segments: list[bytes]):
+    def __init__(self, segments: list[bytes], first: int = 0, ranges: int | None = None):
         sizes = np.array([len(s) for s in segments], dtype=np.int64)
-        self.ranges = len(segments)
+        self.first, self.ranges = first, ranges or len(segments)
         self.start = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         self.bits = (sizes * 8).astype(np.uint64)
         self.data = np.frombuffer(b"".join(segments), dtype=np.uint8)
 
     def counts(self, keys: np.ndarray, salt: np.uint64) -> np.ndarray:
-        """Estimated counts: the middle of the level found, on a logarithmic scale."""
-        found = np.zeros(len(keys), dtype=np.int64)
-        left = np.arange(len(keys))
+        return middle(self.levels(keys, salt))
+
+    def levels(self, keys: np.ndarray, salt: np.uint64) -> np.ndarray:
+        """The level found for each key; 0 for those of other ranges."""
+        found = np.zeros(len(keys), dtype=np.uint8)
+        of_range = _range(keys, self.ranges) - self.first
+        left = np.flatnonzero((of_range >= 0) & (of_range < len(self.start)))
         level = 1
         while len(left):
             own = keys[left]
-            segment = _range(own, self.ranges)
+            segment = of_range[left]
             start, bits = self.start[segment], self.bits[segment]
             there = np.arange(len(left))
             value = mix(own * salt + np.uint64(level))
@@ -310,11 +321,10 @@ class LogFilter:
             level += 1
             if level > 64:
                 break
-        low = np.exp2(np.maximum(found - 1, 0))
-        return np.where(found > 0, np.sqrt(low * np.maximum(2 * low - 1, 1)), 0.0)
+        return found
 
 
-def _reduce(chosen_held, bits_each: float, ranges: int):
+def _reduce(chosen_held, ranges: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = [(_SUMS, 0, r.chunk, r.a, r.b, r.c, None) for r in rows[rows["kind"] == _SUMS].itertuples()]
         of_range = int(rows["range"].iloc[0])
@@ -340,7 +350,7 @@ def _reduce(chosen_held, bits_each: float, ranges: int):
         own = _range(chosen, ranges) == of_range
         # frequent tokens of this range have no rows of their own
         entries = [(every[counts > 0], counts[counts > 0], _ONE), (chosen[own], chosen_counts[own], _ONE), (*both, _TWO)]
-        segment = fill_segment(entries, bits_each)
+        segment = fill_segment(entries, BITS)
         out.append((_SEGMENT, of_range, int((counts > 0).sum()), segment.tobytes(), None, None, None))
         return pd.DataFrame(out, columns=["kind", "range", "chunk", "a", "b", "c", "d"])
 
@@ -366,24 +376,61 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     given = _given(docs)
     chosen, counts, n = frequent_tokens(given)
-    ranges = parts(spark)
-    bits_each = min(float(BITS), FILTER_BYTES * 8 / max(1, 2 * n))
+    # an n-gram has at most as many entries as occurrences: a range has half of BROADCAST_BYTES at most, on average
+    ranges = max(parts(spark), -(-4 * n * BITS // (8 * BROADCAST_BYTES)))
     held = spark.sparkContext.broadcast((chosen, counts))
     rows = _by_range(given, chosen, counts, ranges)
-    reduced = write_stage(rows.groupBy("range").applyInPandas(_reduce(held, bits_each, ranges), _ROW), "by-range")
+    reduced = write_stage(rows.groupBy("range").applyInPandas(_reduce(held, ranges), _ROW), "by-range")
+
+    segments = reduced.where(F.col("kind") == _SEGMENT)
+    known = segments.select("range", "chunk", F.length("a").alias("bytes")).toPandas().set_index("range")
+    v = int(known["chunk"].sum()) + int((counts > 0).sum())
+    cuts = filter_slices([int(known["bytes"].get(r, 8)) for r in range(ranges)])
+
+    def one_slice(first: int, last: int) -> LogFilter:
+        own = segments.where(F.col("range").between(first, last - 1)).select("range", "a").toPandas().set_index("range")["a"]
+        return LogFilter([bytes(own.get(r, bytes(8))) for r in range(first, last)], first, ranges)
 
-    segments = reduced.where(F.col("kind") == _SEGMENT).select("range", "chunk", "a").toPandas().set_index("range")
-    empty = np.zeros(8, dtype=np.uint8).tobytes()
-    v = int(segments["chunk"].sum()) + int((counts > 0).sum())
-    log_filter = spark.sparkContext.broadcast(LogFilter([bytes(segments["a"].get(r, empty)) for r in range(ranges)]))
-    del segments
     exact = reduced.where(F.col("kind") != _SEGMENT).groupBy("chunk").applyInPandas(
         _documents, "doc_id long, held_out boolean, hash long, n_tokens long, n_known long, logs double"
     )
-    exact = write_stage(exact, "exact-sums").dropDuplicates(["doc_id", "hash"])
+    exact = write_stage(exact, "exact-sums")
+
+    def of_texts(single: np.ndarray, both: np.ndarray, ends: float, first: np.ndarray) -> list[float]:
+        """Scores from the counts of each token and of its pair with the one before it."""
+        before = np.empty_like(single)
+        before[1:] = single[:-1]
+        before[first[:-1]] = ends
+        p = (np.minimum(both, before) + M * (single + 1) / (n + v + 1)) / (before + M)
+        return np.add.reduceat(np.log10(p), first[:-1]).tolist()
+
+    if len(cuts) == 1:
+        scored = _scored_at_once(given, one_slice(0, ranges), of_texts)
+        exact = exact.dropDuplicates(["doc_id", "hash"])
+    else:
+        scored = _scored_by_slices(given, [(one_slice, *cut) for cut in cuts], of_texts)
+    joined = scored.join(exact, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("hash")))
+    base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
+    return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+
+
+def filter_slices(sizes: list[int]) -> list[tuple[int, int]]:
+    """(first, last) of runs of ranges whose segments hold BROADCAST_BYTES at most, one range at least."""
+    cuts, first = [], 0
+    for r in range(1, len(sizes) + 1):
+        if r == len(sizes) or sum(sizes[first : r + 1]) > BROADCAST_BYTES:
+            cuts.append((first, r))
+            first = r
+    return cuts
+
+
+def _scored_at_once(given: DataFrame, log_filter: LogFilter, of_texts) -> DataFrame:
+    """d, h and score of every row, by the whole filter."""
+    held = given.sparkSession.sparkContext.broadcast(log_filter)
+    del log_filter
 
     def score(batch):
-        model = log_filter.value
+        model = held.value
         texts = _encoded(batch.column(2))
         ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a, b in slices(texts):
@@ -394,19 +441,59 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             place[order] = np.cumsum(new) - 1
             single = model.counts(tokens[order][new], _ONE)
             ends = float(model.counts(np.array([_END]), _ONE)[0])
-            c = single[place]
-            before = np.empty_like(c)
-            before[1:] = c[:-1]
-            before[first[:-1]] = ends
-            both = np.minimum(model.counts(_pairs(tokens, first), _TWO), before)
-            p = (both + M * (c + 1) / (n + v + 1)) / (before + M)
-            scores = np.add.reduceat(np.log10(p), first[:-1])
-            yield from zip(ids[a:b], hashes[a:b], scores.tolist(), strict=True)
+            scores = of_texts(single[place], model.counts(_pairs(tokens, first), _TWO), ends, first)
+            yield from zip(ids[a:b], hashes[a:b], scores, strict=True)
 
     # written at once, so that the workers can let go of the filter
     scored = write_stage(map_rows(given.select("doc_id", "hash", "text"), score, "d long, h long, score double"), "scores")
-    log_filter.unpersist()
-    joined = scored.join(exact, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("hash")))
-    base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
-    return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    held.unpersist()
+    return scored
 
+
+def _scored_by_slices(given: DataFrame, cuts: list[tuple], of_texts) -> DataFrame:
+    """d, h and score of every different (d, h). The tokens are written once; each slice of the filter marks the tokens and pairs
+    that it has and gives their levels, and those of all slices are put together for each text."""
+    spark = given.sparkSession
+
+    def hashed(batch):
+        texts = _encoded(batch.column(2))
+        ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for a, b in slices(texts):
+            tokens, first = _tokens(texts[a:b])
+            for i in range(a, b):
+                yield ids[i], hashes[i], tokens[first[i - a] : first[i - a + 1]].tobytes()
+
+    tokens = write_stage(map_rows(given.select("doc_id", "hash", "text"), hashed, "d long, h long, tokens binary"), "tokens")
+    found, ends = [], 0.0
+    for k, (one_slice, *cut) in enumerate(cuts):
+        model = one_slice(*cut)
+        ends = max(ends, float(model.counts(np.array([_END]), _ONE)[0]))
+        held = spark.sparkContext.broadcast(model)
+        del model
+
+        def probe(batch, held=held):
+            for d, h, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                own = np.frombuffer(own, np.uint64)
+                levels = np.concatenate([held.value.levels(own, _ONE), held.value.levels(_pairs(own, np.array([0, len(own)])), _TWO)])
+                yield d, h, len(own), np.packbits(levels > 0).tobytes(), levels[levels > 0].tobytes()
+
+        part = write_stage(map_rows(tokens, probe, "d long, h long, n long, mark binary, levels binary"), f"levels-{k}")
+        held.destroy()
+        found.append(part.select("d", "h", "n", F.lit(k).alias("k"), F.struct("mark", "levels").alias("own")))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    # rows with one id and text have equal levels
+    own = [F.max(F.when(F.col("k") == k, F.col("own"))).alias(f"own{k}") for k in range(len(found))]
+    every = every.groupBy("d", "h", "n").agg(*own)
+
+    def score(batch):
+        for d, h, n, *own in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            levels = np.zeros(2 * n, dtype=np.uint8)
+            for x in own:
+                marked = np.unpackbits(np.frombuffer(x["mark"], np.uint8), count=2 * n).astype(bool)
+                levels[marked] = np.frombuffer(x["levels"], np.uint8)
+            counts = middle(levels)
+            yield d, h, of_texts(counts[:n], counts[n:], ends, np.array([0, n]))[0]
+
+    return map_rows(every, score, "d long, h long, score double")

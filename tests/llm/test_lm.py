@@ -80,6 +80,27 @@ def test_filter_grows_with_the_corpus_up_to_its_bound(monkeypatch):
     assert len(large) == 4 * len(small) == 4000
 
 
+def test_a_filter_above_the_bound_keeps_its_bits(spark, monkeypatch):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").unionByName(odd_documents(spark), allowMissingColumns=True)
+    docs = docs.select("doc_id", "text")
+
+    def scores():
+        return sorted(map(tuple, lmscore.lm_scores(docs).collect()), key=repr)
+
+    usual = scores()
+    size = usual[0][4] // 3
+    monkeypatch.setattr(lmscore, "FILTER_BYTES", size, raising=False)  # the bound of the whole filter, before there were slices
+    monkeypatch.setattr(lmscore, "BROADCAST_BYTES", size, raising=False)
+    sliced = scores()
+    assert [r[:5] for r in sliced] == [r[:5] for r in usual]
+    # other segments, other chance hits
+    assert sum(abs(a[6] - b[6]) for a, b in zip(usual, sliced, strict=True)) < 0.02 * -sum(r[6] for r in usual)
+    assert len(lmscore.filter_slices([size // 2] * 9)) > 3
+    monkeypatch.setattr(lmscore, "filter_slices", lambda sizes: [(0, len(sizes))])
+    for a, b in zip(scores(), sliced, strict=True):
+        assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-9, atol=1e-9)
+
+
 def test_odd_rows(spark):
     rows = [(r[0], r[1]) for r in odd_rows()]
     got = lmscore.lm_scores(odd_documents(spark)).collect()
