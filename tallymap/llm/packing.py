@@ -11,11 +11,13 @@ dual-feasible functions over the group's lengths say how many sequences any pack
 
 A group whose count equals its bound can't be packed better by itself. What remains is space
 that groups leave unfilled: the documents of loosely filled sequences (in a group with a gap:
-of all that aren't full) are exchanged: several groups' are put together and packed anew, and
-the new packing counts where it needs fewer sequences. This is repeated until one group is left.
+of all that aren't full) are exchanged: those of up to MERGED groups, as far as ``GROUP`` pieces
+allow, are put together by hash and packed anew, and the new packing counts where it needs fewer sequences. A sequence of one piece that no
+other open piece fits beside is closed: no packing does better. This ends when the number of open
+sequences meets the bound over all open lengths, which is taken from their histogram, after a round with
+one group, or after ROUNDS rounds with several.
 
-A group is bounded by ``GROUP`` pieces on average, the open sequences of a group by what is
-loose, so no task holds more than that.
+A group is bounded by ``GROUP`` pieces on average in every round, so no task holds more than that.
 
 A null text is taken as empty: it has the end id alone. Repeated rows are packed each for
 itself. An empty table gives no rows. Other columns are not read.
@@ -37,8 +39,10 @@ from tallymap.session import write_stage
 CAPACITY = 4096
 #: Pieces of a group, on average.
 GROUP = 100_000
-#: Groups whose open sequences are packed together.
+#: Groups whose open sequences are packed together, at most.
 MERGED = 32
+#: Rounds of exchange between several groups.
+ROUNDS = 6
 #: A sequence with at least this share of free space is open to exchange, in a certified group too.
 LOOSE = 1 / 16
 
@@ -98,7 +102,11 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """Sequences that any packing of these lengths needs, from dual-feasible functions."""
     if not len(lengths):
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return histogram_bound(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def histogram_bound(count: np.ndarray, capacity: int) -> int:
+    """The same from the number of pieces of each length, 0 to ``capacity``."""
     size = np.arange(capacity + 1, dtype=np.int64)
     mass = np.append(0, np.cumsum(count * size))  # mass[x]: of lengths below x
     number = np.append(0, np.cumsum(count))
@@ -154,18 +162,29 @@ def pack_documents(pieces: DataFrame, capacity: int = CAPACITY, group: int = GRO
         number = (F.lit(turn) * (1 << 56)).cast("long") + F.col("grp") * (1 << 32) + F.col("bin")
         packed = packed.withColumn("sequence_id", F.when(F.col("fresh"), number).otherwise(F.col("sequence_id")))
         packed = write_stage(packed, f"packed-{turn}")
-        if groups == 1:
+        if groups == 1 or turn == ROUNDS:
+            done.append(packed)
+            break
+        # a piece that no other open one fits beside is alone in any packing
+        least = packed.where("open").agg(F.min("length")).first()[0]
+        alone = (F.col("fill") == F.col("length")) & (F.col("length") + F.lit(least) > capacity)
+        still = F.col("open") & ~alone
+        # every sequence has one piece at offset 0
+        counted = packed.where(still).groupBy("length").agg(F.count("*").alias("n"), F.sum((F.col("offset") == 0).cast("long")).alias("sequences")).toPandas()
+        histogram = np.zeros(capacity + 1, dtype=np.int64)
+        histogram[counted["length"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+        if counted["sequences"].sum() <= histogram_bound(histogram, capacity):
             done.append(packed)
             break
-        done.append(packed.where(~F.col("open")))
-        groups = -(-groups // MERGED)
-        # numbers of bins start anew in a merged group, so the sequence stands for the bin
-        rows = packed.where("open").select(
+        done.append(packed.where(~still))
+        groups = max(-(-groups // MERGED), -(-int(histogram.sum()) // group))
+        turn += 1
+        # numbers of bins start anew in a group, so the sequence stands for the bin
+        rows = packed.where(still).select(
             *(c.split()[0] for c in keep.split(", ")),
-            F.pmod("grp", F.lit(groups)).alias("grp"),
+            F.pmod(F.xxhash64("sequence_id", F.lit(turn)), F.lit(groups)).alias("grp"),
             F.col("sequence_id").alias("bin"), "offset", "fill", "sequence_id", "fresh", "open", "gap",
         )
-        turn += 1
     whole = done[0]
     for more in done[1:]:
         whole = whole.unionByName(more)

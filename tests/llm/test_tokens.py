@@ -143,6 +143,35 @@ def test_groups_exchange_until_little_is_open(spark, monkeypatch):
     assert used <= check_sequences(apart, 100) * 1.01 + 2
 
 
+def test_no_task_packs_all_that_cannot_be_filled(spark, monkeypatch):
+    sizes = spark.sparkContext.accumulator(0)
+    packed = packing._packed
+
+    def watched(capacity, first_round):
+        run = packed(capacity, first_round)
+
+        def of_group(rows):
+            if len(rows) > 800:  # twice what a group has on average
+                sizes.add(1)
+            return run(rows)
+
+        return of_group
+
+    monkeypatch.setattr(packing, "_packed", watched)
+    alone = spark.range(4000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "51 + pmod(xxhash64(id), 42) AS length", "id AS ids_crc32")
+    mixed = spark.range(4000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "IF(id % 3 = 0, 60L, 25 + pmod(xxhash64(id), 10)) AS length", "id AS ids_crc32")
+    for rows in (alone, mixed):
+        got = [tuple(r) for r in packing.pack_documents(rows, 100, group=400).collect()]
+        assert sorted(r[0] for r in got) == list(range(4000)) and sizes.value == 0
+        used = check_sequences(got, 100)
+        if rows is alone:
+            assert used == 4000
+        else:
+            whole = [tuple(r) for r in packing.pack_documents(rows, 100, group=10**6).collect()]
+            sizes.value = 0
+            assert used <= check_sequences(whole, 100) * 1.01 + 2
+
+
 def test_word_hashes_tell_words_apart():
     texts = ["The cat  sat\n", "", " the\tCAT sat\x0b\x0c", "é x\x1cy"]
     hashes, first = word_hashes([t.encode() for t in texts])
