@@ -310,6 +310,15 @@ def test_limited_export_has_all_members_of_a_measure(spark):
     assert {json.loads(r["feature"])["properties"]["nbreOfPos"] for r in shown} == {4}
 
 
+def test_large_limits_come_before_numbering(spark):
+    rows = _collections(spark, 30)
+    plan = export.styled_fragments(rows, -1, limit=5000)._jdf.queryExecution().analyzed().toString().splitlines()
+    numbered = max(i for i, line in enumerate(plan) if "row_number" in line and "Window [" in line)
+    assert any("GlobalLimit 5000" in line for line in plan[numbered:])
+    few = export.export_map_features(rows, zoom=-1, limit=4).select("num").distinct().collect()
+    assert sorted(r["num"] for r in few) == sorted(r["num"] for r in rows.select("num").distinct().orderBy("num").limit(len(few)).collect())
+
+
 def test_footprints_are_repaired_and_in_lonlat(spark, sf_dir):
     from tallymap.plans import sample_tables as st
 
