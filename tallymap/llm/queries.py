@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tallymap.llm import idfiles, lmscore, mixing, neardup, packing, pages, quality, runs, secrets, topk, toxicity
+from tallymap.llm import idfiles, lmscore, mixing, neardup, packing, pages, quality, runs, secrets, topk, toxicity, whitening
 from tallymap.llm.tables import table
 
 
@@ -59,6 +59,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"), path, end_id=1)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(table(spark, sf_dir, "embeddings"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_report(runs.with_tails(table(spark, sf_dir, "documents")))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_lm_scores": op9_lm_scores,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_whitening": op11_whitening,
     "op12_periodic_runs": op12_periodic_runs,
 }
 
