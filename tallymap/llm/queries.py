@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tallymap.llm import idfiles, lmscore, mixing, neardup, packing, pages, quality, runs, secrets, topk, toxicity, whitening
+from tallymap.llm import idfiles, lmscore, mixing, neardup, packing, pages, personal, quality, runs, secrets, topk, toxicity, whitening
 from tallymap.llm.tables import table
 
 
@@ -67,6 +67,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_report(runs.with_tails(table(spark, sf_dir, "documents")))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
     "op2_source_mix": op2_source_mix,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_whitening": op11_whitening,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_personal_data": op13_personal_data,
 }
 
 ORACLE: dict[str, str] = {
