@@ -247,12 +247,13 @@ def with_tails(docs: DataFrame) -> DataFrame:
     g = ((h - h % 10) / 10).cast("long")
 
     def tailed(w: Column) -> Column:
-        n = F.size(w).cast("long")
-        a = g % n
-        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-        return F.array_join(
-            F.transform(w, lambda word, i: F.when(i < a, word).otherwise(F.get(w, (a + (i - a) % p).cast("int")))), " "
-        )
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+        # whole periods, cut to the words there are; no look-up in the words for each word
+        times = F.ceil((n - a) / p).cast("int")
+        tail = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), times)), F.lit(1), n - a)
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a), tail), " ")
 
     w = words(F.col("text"))
     chosen = (h % 10 == 0) & (F.size(w) > 0)
