@@ -295,7 +295,8 @@ def emitted(gates: str) -> str:
 # Symbol of what is shown: own symbol of geometries with points, the general one of small fragments.
 _SYMBOL = "CASE WHEN shape = 'point' THEN 'square/3BB9FF' WHEN shape = 'unchanged' AND geom_type IN ('Point', 'MultiPoint', 'GeometryCollection') THEN 'circle/0000FF' END"
 # MultiPoints alone, taken before anything is clustered.
-MULTIPOINTS = fragmented(gated(WIDE, ZOOMS, "geom_type = 'MultiPoint'"))
+# Points stay apart when no two of the three are nearer than the reach.
+_FAR_APART = ", ".join(f"greatest(abs({p}.xmin - {q}.xmin), abs({p}.ymin - {q}.ymin))" for p, q in ("ab", "ac", "bc"))
 
 _WIDENED = ", ".join(
     f"CASE WHEN e{i}.xmin IS NOT NULL THEN e{i}.{s} {'-' if s.endswith('min') else '+'} z.reach END AS e{i}{s}"
@@ -628,7 +629,9 @@ ORACLE: dict[str, str] = {
     "generalise_single": f"WITH {GATED} SELECT num, zoom, geom_type, {_ROUNDED_SIDES} FROM z WHERE display = 'box'",
     "cluster_elements": f"WITH {CLUSTERS} SELECT num, zoom, geom_type, first, {_ROUNDED_SIDES} FROM ({_unfold('c', 'g')})",
     "merge_overlaps": f"WITH {WIDENED} SELECT num, zoom, geom_type, first, {_ROUNDED_SIDES} FROM ({_unfold('mw', 'q')})",
-    "keep_identical_multipoint": f"WITH {MULTIPOINTS} SELECT z.num, z.zoom, 'circle/0000FF' AS symbol FROM z JOIN n USING (rid, zoom) WHERE z.geom_type = 'MultiPoint' AND n_groups = 3",
+    "keep_identical_multipoint": f"""WITH {gated(WIDE, ZOOMS, "geom_type = 'MultiPoint'")} SELECT z.num, z.zoom, 'circle/0000FF' AS symbol FROM z
+ JOIN eb a ON a.rid = z.rid AND a.el = 0 JOIN eb b ON b.rid = z.rid AND b.el = 1 JOIN eb c ON c.rid = z.rid AND c.el = 2
+ WHERE z.geom_type = 'MultiPoint' AND display = 'fragments' AND least({_FAR_APART}) >= z.reach""",
     "emit_fragments": f"WITH {emitted(GATED)} SELECT num, zoom, geom_type, agg, shape, {_ROUNDED_SIDES} FROM shown",
     "marker_style": f"""WITH {emitted(gated(BOTH_PLACED, (-1, 8), 'geometry IS NOT NULL'))}
  SELECT source, 'direct' AS georef, zoom, shown.geom_type, shape, {_SYMBOL.replace('geom_type', 'shown.geom_type')} AS symbol, count(*) AS n FROM shown JOIN r USING (rid) GROUP BY ALL

@@ -814,7 +814,7 @@ def _fragmented(spark, sf_dir) -> DataFrame:
 
 
 def cluster_elements(spark, sf_dir):
-    groups = bx.cluster(bx.element_boxes(F.col("geom")), bx.ten_pixels(F.col("zoom")))
+    groups = bx.cluster(F.col("_elements"), bx.ten_pixels(F.col("zoom")))
     rows = _fragmented(spark, sf_dir).select("num", "zoom", "geom_type", F.posexplode(groups).alias("place", "b"))
     return rows.select(
         "num", "zoom", "geom_type", F.col("b.first").cast("bigint").alias("first"),
@@ -825,18 +825,14 @@ def cluster_elements(spark, sf_dir):
 def merge_overlaps(spark, sf_dir):
     """Boxes of the elements, ten pixels wider on each side, merged until none meet."""
     reach = bx.ten_pixels(F.col("zoom"))
-    wide = F.transform(
-        bx.element_boxes(F.col("geom")),
-        lambda b: F.struct(
-            (b["xmin"] - reach).alias("xmin"), (b["ymin"] - reach).alias("ymin"),
-            (b["xmax"] + reach).alias("xmax"), (b["ymax"] + reach).alias("ymax"), b["first"].alias("first"),
-        ),
-    )
-    rows = _fragmented(spark, sf_dir).select("num", "zoom", "geom_type", F.explode(bx.merge_meeting(wide)).alias("b"))
-    return rows.select(
-        "num", "zoom", "geom_type", F.col("b.first").cast("bigint").alias("first"),
-        *(F.round(F.col(f"b.{c}"), 7).alias(c) for c in spatial.BOX_COLUMNS),
+    rows = _fragmented(spark, sf_dir).withColumn("rid", F.monotonically_increasing_id())  # numbers are not unique
+    elements = rows.select("num", "zoom", "geom_type", "rid", F.explode("_elements").alias("b")).select(
+        "num", "zoom", "geom_type", "rid", F.col("b.first").cast("bigint").alias("first"),
+        (F.col("b.xmin") - reach).alias("xmin"), (F.col("b.ymin") - reach).alias("ymin"),
+        (F.col("b.xmax") + reach).alias("xmax"), (F.col("b.ymax") + reach).alias("ymax"),
     )
+    merged = spatial.merge_overlaps(elements, ["num", "zoom", "geom_type", "rid"]).drop("rid")
+    return rounded(merged, 7, *spatial.BOX_COLUMNS)
 
 
 def keep_identical_multipoint(spark, sf_dir):
