@@ -366,9 +366,18 @@ _REPEAT = f"({_P} AND l_partkey % 13 <> 0 AND l_partkey % 17 <> 0 AND l_partkey
 _BACK = f"({_P} AND l_partkey % 13 <> 0 AND l_partkey % 17 <> 0 AND l_partkey % 19 <> 0 AND l_partkey % 23 = 0)"
 _FLAT = f"({_P} AND l_partkey % 13 <> 0 AND l_partkey % 17 <> 0 AND l_partkey % 19 <> 0 AND l_partkey % 23 <> 0 AND l_partkey % 29 = 0)"
 _DOT = "(ln = 3 AND geometry IS NOT NULL AND l_partkey % 13 = 0)"
+_CROSSED = "(ln = 6 AND geometry IS NOT NULL AND l_partkey % 13 = 0)"
+_FAR_HOLE = "(ln = 6 AND geometry IS NOT NULL AND l_partkey % 13 <> 0 AND l_partkey % 17 = 0)"
 _DOUBLE = "(ln = 3 AND geometry IS NOT NULL AND l_partkey % 13 <> 0 AND l_partkey % 17 = 0)"
 
 
+def _half_hull(points: str) -> str:
+    """One chain of the hull of sorted positions: each new one cuts the chain at the first bend it flattens."""
+    turn = "(acc[i][1] - acc[i - 1][1]) * (n[1][2] - acc[i - 1][2]) - (acc[i][2] - acc[i - 1][2]) * (n[1][1] - acc[i - 1][1])"
+    keep = f"coalesce(list_min([i FOR i IN range(2, len(acc) + 1) IF {turn} <= 0]) - 1, len(acc))"
+    return f"list_reduce([[q] FOR q IN {points}], lambda acc, n: list_concat(acc[:{keep}], n))"
+
+
 def _rule(name: str, test: str) -> str:
     return f"SELECT '{name}' AS rule, count_if({test})::BIGINT AS violations FROM fv"
 
@@ -553,8 +562,17 @@ ORACLE: dict[str, str] = {
     "convex_hull": f"""WITH {FA} SELECT mesure_id, CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 3 WHEN 4 THEN 4 WHEN 5 THEN 4 WHEN 6 THEN 4 ELSE CASE WHEN l_suppkey % 2 = 0 THEN 3 ELSE 2 END END::BIGINT AS n_corners,
  CASE l_linenumber WHEN 1 THEN 0 WHEN 2 THEN w * h / 2.0 WHEN 3 THEN w * h / 2.0 WHEN 4 THEN w * h WHEN 5 THEN w * h WHEN 6 THEN h * (100000.0 + w) / 2 ELSE CASE WHEN l_suppkey % 2 = 0 THEN w * h / 2.0 ELSE 0 END END::DOUBLE AS area_m2
  FROM fa WHERE geometry IS NOT NULL""",
+    "convex_hull_by_project": f"""WITH {FA}, pts AS (SELECT projet, unnest(CASE l_linenumber WHEN 1 THEN [[xi, yi]] WHEN 2 THEN [[xi, yi], [xi + w, yi], [xi + w, yi + h]] WHEN 3 THEN [[xi, yi], [xi + w, yi], [xi + w, yi + h]]
+  WHEN 4 THEN [[xi, yi], [xi + w, yi], [xi, yi + h], [xi + w, yi + h]] WHEN 5 THEN [[xi, yi], [xi + w, yi], [xi, yi + h], [xi + w, yi + h]]
+  WHEN 6 THEN [[xi, yi], [xi + w, yi], [xi + w, yi + h], [xi + 50000, yi], [xi + 50000 + w, yi], [xi + 50000 + w, yi + h]]
+  ELSE CASE WHEN l_suppkey % 2 = 0 THEN [[xi, yi], [xi + w, yi + h], [xi + w, yi]] ELSE [[xi, yi], [xi + w, yi + h]] END END) AS p FROM fa WHERE geometry IS NOT NULL),
+ s AS (SELECT projet, list_sort(list(DISTINCT [p[1]::BIGINT, p[2]::BIGINT])) AS p FROM pts GROUP BY projet),
+ c AS (SELECT projet, p, {_half_hull('p')} AS lower, {_half_hull('list_reverse(p)')} AS upper FROM s),
+ h AS (SELECT projet, CASE WHEN len(p) <= 2 THEN p ELSE lower[:-2] || upper[:-2] END AS hull FROM c)
+ SELECT projet, len(hull) AS n_corners, CASE WHEN len(hull) < 3 THEN 0.0 ELSE abs(list_sum([hull[i][1] * hull[i % len(hull) + 1][2] - hull[i % len(hull) + 1][1] * hull[i][2] FOR i IN range(1, len(hull) + 1)]))::DOUBLE / 2 END AS area_m2 FROM h""",
     "geometry_md5": f"WITH {FA} SELECT n_rows, geometry IS NULL AS no_shape, count(*) AS n_shapes FROM (SELECT geometry, count(*) AS n_rows FROM fa GROUP BY geometry) GROUP BY ALL",
-    "audit_validity": f"WITH {_FV} {_rule('open_ring', _OPEN)} UNION ALL {_rule('short_ring', _FLAT)} UNION ALL {_rule('short_line', _DOT)} UNION ALL {_rule('repeated_position', f'{_REPEAT} OR {_DOUBLE}')} UNION ALL {_rule('self_crossing', _BOW)}",
+    "audit_validity": f"WITH {_FV} {_rule('open_ring', _OPEN)} UNION ALL {_rule('short_ring', _FLAT)} UNION ALL {_rule('short_line', _DOT)} UNION ALL {_rule('repeated_position', f'{_REPEAT} OR {_DOUBLE}')} UNION ALL {_rule('self_crossing', _BOW)}"
+    + f" UNION ALL {_rule('crossing_rings', _CROSSED)} UNION ALL {_rule('hole_outside', _FAR_HOLE)} UNION ALL {_rule('nested_holes', 'false')} UNION ALL {_rule('nested_polygons', 'false')}",
     "repair_geometry": f"""WITH {_FV}, s AS (SELECT *, {_MEASURES} FROM fv)
  SELECT geom_type, CASE WHEN geometry IS NULL THEN NULL WHEN {_FLAT} OR {_DOT} THEN 'dropped' WHEN {_OPEN} OR {_REPEAT} OR {_DOUBLE} THEN 'repaired' ELSE 'ok' END AS shape_status,
  count(*) AS n, sum(CASE WHEN {_FLAT} OR {_DOT} THEN NULL WHEN {_DOUBLE} THEN 2 ELSE n_positions END)::BIGINT AS positions FROM s GROUP BY 1, 2""",

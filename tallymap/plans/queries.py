@@ -11,7 +11,7 @@ from tallymap.functions import boxes as bx
 from tallymap.functions import crs, text
 from tallymap.functions import geometry as g
 from tallymap.functions import measures as m
-from tallymap.operators import audit, diff, numbering, spatial, stats
+from tallymap.operators import audit, diff, hulls, numbering, spatial, stats
 from tallymap.operators import generalise as gen
 from tallymap.plans import export, extract, load
 from tallymap.plans import sample_tables as st
@@ -516,12 +516,17 @@ def decompose_elements(spark, sf_dir):
 
 
 def convex_hull(spark, sf_dir):
-    hulls = shapes(spark, sf_dir).where(F.col("geom").isNotNull()).withColumn("hull", m.convex_hull(F.col("geom")))
-    return hulls.select(
+    found = shapes(spark, sf_dir).where(F.col("geom").isNotNull()).withColumn("hull", m.convex_hull(F.col("geom")))
+    return found.select(
         "mesure_id", F.size("hull").cast("bigint").alias("n_corners"), m.ring_area_of_hull(F.col("hull")).alias("area_m2")
     )
 
 
+def convex_hull_by_project(spark, sf_dir):
+    found = hulls.hull_per_key(shapes(spark, sf_dir), ["projet"])
+    return found.select("projet", F.size("hull").cast("bigint").alias("n_corners"), m.ring_area_of_hull(F.col("hull")).alias("area_m2"))
+
+
 def geometry_md5(spark, sf_dir):
     """How many rows share a shape, and how many shapes have that many rows."""
     shaped = shapes(spark, sf_dir).select(g.shape_digest(F.col("geom")).alias("geom_md5"))
@@ -924,7 +929,7 @@ QUERIES: dict[str, Query] = {
         bbox_filter, feature_properties, listing_view, set_srid_census, drop_z, round_coords,
         reproject_lambert93, project_lambert93, reproject_utm40s, reproject_webmercator, repair_projection,
         audit_extent, area_ha, length_km, geodesic_measures, count_positions, geometry_bbox, viewport,
-        geometry_types, dissolve_collections, decompose_elements, convex_hull, geometry_md5, audit_validity,
+        geometry_types, dissolve_collections, decompose_elements, convex_hull, convex_hull_by_project, geometry_md5, audit_validity,
         repair_geometry, audit_negative_area, diff_area, diff_length, missing_in_b, missing_in_a,
         diff_area_by_communes, diff_length_by_communes, missing_by_communes, missing_totals, diff_fingerprints,
         drill_fingerprint, reconcile, same_geometry_pairs, fd_conflict_pairs, fd_conflict_pairs_same_si,

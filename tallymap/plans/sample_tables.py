@@ -21,7 +21,11 @@ def read_tables(spark: SparkSession, sf_dir: str) -> None:
         return
     _registered[session] = sf_dir
     for name in SOURCE_TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"tm_{name}")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if name == "lineitem":
+            # what is made of a line item costs far more than the item: a file of one row group is still worked on by all cores
+            table = table.repartition("l_orderkey", "l_linenumber")
+        table.createOrReplaceTempView(f"tm_{name}")
 
 
 def sample(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -78,7 +82,7 @@ _SHAPE_CASES = (
 
 GEOMETRY = f"CASE WHEN l_partkey % 53 = 0 THEN NULL\n{_SHAPE_CASES}\nEND"
 
-# Polygons and lines broken on purpose, for the validity audit.
+# Polygons and lines broken on purpose, for the validity audit; the last polygons cross each other or have a hole far off.
 BROKEN_GEOMETRY = (
     "CASE WHEN l_partkey % 53 = 0 THEN NULL\n"
     f" WHEN l_linenumber = 5 AND l_partkey % 13 = 0 THEN {_geojson('Polygon', _list(_list(_SW, _NE, _SE, _NW, _SW)))}\n"
@@ -86,6 +90,8 @@ BROKEN_GEOMETRY = (
     f" WHEN l_linenumber = 5 AND l_partkey % 19 = 0 THEN {_geojson('Polygon', _list(_list(_SW, _SE, _SE, _NE, _NW, _SW)))}\n"
     f" WHEN l_linenumber = 5 AND l_partkey % 23 = 0 THEN {_geojson('Polygon', _list(_list(_SW, _NW, _NE, _SE, _SW)))}\n"
     f" WHEN l_linenumber = 5 AND l_partkey % 29 = 0 THEN {_geojson('Polygon', _list(_list(_SW, _SE, _SW)))}\n"
+    f" WHEN l_linenumber = 6 AND l_partkey % 13 = 0 THEN {_geojson('MultiPolygon', _list(_list(_TRIANGLE), _list(_list(_NW, _SE, _NE, _NW))))}\n"
+    f" WHEN l_linenumber = 6 AND l_partkey % 17 = 0 THEN {_geojson('MultiPolygon', _list(_list(_TRIANGLE, _FAR_TRIANGLE)))}\n"
     f" WHEN l_linenumber = 3 AND l_partkey % 13 = 0 THEN {_geojson('LineString', _list(_SW))}\n"
     f" WHEN l_linenumber = 3 AND l_partkey % 17 = 0 THEN {_geojson('LineString', _list(_SW, _SE, _SE))}\n"
     f"{_SHAPE_CASES}\nEND"

@@ -174,3 +174,45 @@ def test_viewport_zoom(spark, size, zoom):
 
 def test_angle_is_exact_for_whole_turns():
     assert math.isclose(m.MAJOR_AXIS * math.pi / 180, 111319.49079327358)
+
+
+def brute_hull(points):
+    """Corners: positions that some line through them has all others on one side of, but not between two others."""
+    points = sorted(set(points))
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    if len(points) <= 2:
+        return set(points)
+    found = set()
+    for p in points:
+        for q in points:
+            if p != q and all(turn(p, q, r) >= 0 for r in points):
+                line = sorted(r for r in points if turn(p, q, r) == 0)
+                found |= {line[0], line[-1]}
+    return found
+
+
+def test_hull_of_many_geometries(spark):
+    import random
+
+    from tallymap.operators import hulls
+
+    rng = random.Random(4)
+    rows, expected = [], {}
+    for key, n, wide in (("a", 300, 12), ("b", 40, 2000), (None, 60, 5), ("line", 30, 0), ("one", 1, 9), ("ring", 90, -1)):
+        points = [(float(rng.randint(0, abs(wide))), float(rng.randint(0, abs(wide)))) for _ in range(n)]
+        if key == "line":
+            points = [(float(k % 7), float(2 * (k % 7))) for k in range(n)]
+        if key == "ring":
+            points = [(float(k - 45), float((k - 45) ** 2)) for k in range(n)]
+        rows += [(key, f'{{"type":"MultiPoint","coordinates":{[list(p) for p in points[i : i + 4]]}}}') for i in range(0, n, 4)]
+        expected[key] = brute_hull(points)
+    rows += [("empty", None), ("a", None), ("empty", '{"type":"MultiPoint","coordinates":[]}')]
+    df = load.with_geometry(spark.createDataFrame(rows, "key string, geometry string").repartition(5))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {r["key"]: [tuple(p) for p in r["hull"]] for r in hulls.hull_per_key(df, ["key"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {k: set(v) for k, v in got.items()} == expected
+    assert all(len(v) == len(set(v)) and v[0] == min(v) for v in got.values())
+    assert hulls.hull_per_key(df.where("false"), ["key"]).count() == 0

@@ -1,5 +1,6 @@
 """Spatial pairs, joins with hot keys, NOT IN, running numbers: brute force and crowded inputs."""
 
+import json
 import itertools
 import random
 
@@ -203,12 +204,48 @@ def test_self_crossing_shapes(spark):
     }
     rows = [(k, f'{{"type":"Polygon","coordinates":[{v}]}}') for k, v in rings.items()] * 2
     df = load.with_geometry(spark.createDataFrame(rows, "geom_md5 string, geometry string"))
-    got = {r["geom_md5"] for r in audit.self_crossing_shapes(df).collect()}
+    got = {r["geom_md5"] for r in audit.self_crossing_shapes(audit.ring_edges(df, "geom_md5")).collect()}
     assert got == {"bow", "spike", "star"}
     counted = {r["rule"]: r["violations"] for r in audit.audit_validity(df).collect()}
     assert counted["self_crossing"] == 6 and counted["open_ring"] == 2
 
 
+def square(x, y, side):
+    return [[x, y], [x + side, y], [x + side, y + side], [x, y + side], [x, y]]
+
+
+RINGS = {
+    "hole": ([[square(0, 0, 10), square(2, 2, 3)]], set()),
+    "hole_far": ([[square(0, 0, 10), square(20, 0, 3)]], {"hole_outside"}),
+    "hole_left": ([[square(0, 0, 10), square(-20, 4, 3)]], {"hole_outside"}),
+    "hole_through": ([[square(0, 0, 10), square(8, 4, 5)]], {"crossing_rings", "hole_outside"}),
+    "hole_touching": ([[square(0, 0, 10), [[0, 5], [3, 4], [3, 6], [0, 5]]]], set()),
+    "hole_along": ([[square(0, 0, 10), square(0, 4, 3)]], {"crossing_rings"}),
+    "hole_in_hole": ([[square(0, 0, 20), square(2, 2, 10), square(4, 4, 3)]], {"nested_holes"}),
+    "two_holes": ([[square(0, 0, 20), square(2, 2, 3), square(8, 2, 3)]], set()),
+    "apart": ([[square(0, 0, 4)], [square(8, 0, 4)]], set()),
+    "corner": ([[square(0, 0, 4)], [square(4, 4, 4)]], set()),
+    "nested": ([[square(0, 0, 10)], [square(3, 3, 2)]], {"nested_polygons"}),
+    "island": ([[square(0, 0, 20), square(4, 4, 10)], [square(6, 6, 3)]], set()),
+    "overlap": ([[square(0, 0, 6)], [square(3, 3, 6)]], {"crossing_rings", "nested_polygons"}),
+    "many": ([[square(0, 0, 1000), *(square(10 * i + 5, 10 * j + 5, 3) for i in range(30) for j in range(20))]], set()),
+    "one_bad": ([[square(0, 0, 1000), *(square(10 * i + 5, 10 * j + 5, 3) for i in range(30) for j in range(20)), square(16, 16, 1)]], {"nested_holes"}),
+}
+
+
+def test_rings_against_each_other(spark):
+    rows = [(k, json.dumps({"type": "MultiPolygon", "coordinates": c})) for k, (c, _) in RINGS.items()] * 2
+    df = load.with_geometry(spark.createDataFrame(rows, "geom_md5 string, geometry string"))
+    several = audit.several_rings(audit.ring_edges(df, "geom_md5"))
+    got = {(k, "crossing_rings") for k, in audit.crossing_rings(several).collect()}
+    got |= {(r["geom_md5"], r["rule"]) for r in audit.misplaced_rings(several).collect()}
+    assert got == {(k, rule) for k, (_, rules) in RINGS.items() for rule in rules}
+    counted = {r["rule"]: r["violations"] for r in audit.audit_validity(df).collect()}
+    assert [counted[r] for r in audit.RING_RULES] == [0, 6, 6, 4, 4]
+    none = audit.audit_validity(df.where("false")).collect()
+    assert {r["rule"]: r["violations"] for r in none}["hole_outside"] == 0
+
+
 def test_copies_are_numbered_once_each_and_spread(spark):
     df = spark.range(20_000).select(F.lit("same").alias("v"), F.lit("x" * 50).alias("w"))
     got = dense_number(df, ["v", "w"], "n")
