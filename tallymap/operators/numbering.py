@@ -1,11 +1,10 @@
 """Running numbers and running sums over a whole table without a one-task window.
 
-The rows are written to the shared folder, range-partitioned, sorted and written in order.
-A file's rows then have a fixed place, so a number is the file's offset plus the row's index
-in its file; only one row per file goes through an ordered window. Rows that are equal in the
-given order are told apart by where they lie in the first written form, so a group of copies,
-however large, is spread over as many ranges as it fills, and a task that is run again routes
-its rows as before.
+The rows are written once to the shared folder, so that each has a fixed place (file and row). Only the order
+columns and the place are range-partitioned and sorted; of these the places alone are written, in order. A number is
+the offset of the file of places plus the row in it, and is joined back to the row by its place; only one row per file goes
+through an ordered window. Rows that are equal in the given order are told apart by their place, so a group of copies,
+however large, is spread over as many ranges as it fills, and a task that is run again routes its rows as before.
 """
 
 from __future__ import annotations
@@ -17,25 +16,38 @@ from pyspark.sql import functions as F
 
 from tallymap.session import new_path
 
-_FILE, _ROW, _SHIFT = "_file", "_row", "_shift"
-
-
-def _staged_in_order(df: DataFrame, order_by: Sequence[Column | str]) -> DataFrame:
-    spark = df.sparkSession
-    unordered, path = new_path(spark, "unordered"), new_path(spark, "ordered")
-    df.write.parquet(unordered)
-    lying = [F.col("_metadata.file_name").alias(_FILE), F.col("_metadata.row_index").alias(_ROW)]
-    order = [*order_by, _FILE, _ROW]
-    (
-        spark.read.schema(df.schema).parquet(unordered).select("*", *lying)
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .drop(_FILE, _ROW)
-        .write.parquet(path)
-    )
-    return spark.read.schema(df.schema).parquet(path).select(
-        "*", F.col("_metadata.file_name").alias(_FILE), F.col("_metadata.row_index").alias(_ROW)
-    )
+_FILE, _ROW, _SHIFT, _AT = "_file", "_row", "_shift", "_at"
+
+
+def _lying(rows: DataFrame) -> DataFrame:
+    """Rows of a written table with their file and their row in it."""
+    return rows.select("*", F.col("_metadata.file_name").alias(_FILE), F.col("_metadata.row_index").alias(_ROW))
+
+
+def _ordered_places(written: DataFrame, order_by: Sequence[Column | str], weight: str | None = None) -> DataFrame:
+    """The places of the written rows (and a weight) in order, with their file and row in that order."""
+    spark = written.sparkSession
+    order = [(F.col(c) if isinstance(c, str) else c).alias(f"_o{i}") for i, c in enumerate(order_by)]
+    names = [f"_o{i}" for i in range(len(order))] + [_FILE, _ROW]
+    kept = [F.col(weight).alias("_weight")] if weight else []
+    path = new_path(spark, "places")
+    keyed = written.select(*order, _FILE, _ROW, *kept)
+    sorted_rows = keyed.repartitionByRange(*names).sortWithinPartitions(*names)
+    places = sorted_rows.select(F.col(_FILE).alias("_in"), F.col(_ROW).alias(_AT), *(["_weight"] if weight else []))
+    places.write.parquet(path)
+    return _lying(spark.read.schema(places.schema).parquet(path))
+
+
+def _written(df: DataFrame) -> DataFrame:
+    spark, path = df.sparkSession, new_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return _lying(spark.read.schema(df.schema).parquet(path))
+
+
+def _joined(written: DataFrame, numbers: DataFrame, name: str) -> DataFrame:
+    """Rows with what was found for their place; no place has more than one row on either side."""
+    found = numbers.select(F.col("_in").alias(_FILE), F.col(_AT).alias(_ROW), name)
+    return written.join(found, [_FILE, _ROW]).drop(_FILE, _ROW)
 
 
 def _file_offsets(per_file: DataFrame, amount: str) -> DataFrame:
@@ -47,29 +59,28 @@ def _file_offsets(per_file: DataFrame, amount: str) -> DataFrame:
 
 def dense_number(df: DataFrame, order_by: Sequence[Column | str], name: str = "num") -> DataFrame:
     """``df`` with 1..n in the given order."""
-    staged = _staged_in_order(df, order_by)
-    offsets = _file_offsets(staged.groupBy(_FILE).agg(F.count(F.lit(1)).alias("_n")), "_n")
+    written = _written(df)
+    places = _ordered_places(written, order_by)
+    offsets = _file_offsets(places.groupBy(_FILE).agg(F.count(F.lit(1)).alias("_n")), "_n")
     # One row per file written, at most spark.sql.shuffle.partitions of them.
-    return (
-        staged.join(F.broadcast(offsets), _FILE)
-        .withColumn(name, F.col(_SHIFT) + F.col(_ROW) + 1)
-        .drop(_FILE, _ROW, _SHIFT)
-    )
+    numbered = places.join(F.broadcast(offsets), _FILE).withColumn(name, F.col(_SHIFT) + F.col(_ROW) + 1)
+    return _joined(written, numbered, name)
 
 
 def running_total(
     df: DataFrame, order_by: Sequence[Column | str], weight: str, name: str
 ) -> DataFrame:
     """``df`` with the sum of ``weight`` over all rows before this one."""
-    staged = _staged_in_order(df, order_by)
-    offsets = _file_offsets(staged.groupBy(_FILE).agg(F.sum(weight).alias("_n")), "_n")
+    written = _written(df)
+    places = _ordered_places(written, order_by, weight)
+    offsets = _file_offsets(places.groupBy(_FILE).agg(F.sum("_weight").alias("_n")), "_n")
     before = Window.partitionBy(_FILE).orderBy(_ROW).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        staged.withColumn("_before", F.coalesce(F.sum(weight).over(before), F.lit(0)))
+    summed = (
+        places.withColumn("_before", F.coalesce(F.sum("_weight").over(before), F.lit(0)))
         .join(F.broadcast(offsets), _FILE)
         .withColumn(name, F.col(_SHIFT) + F.col("_before"))
-        .drop(_FILE, _ROW, _SHIFT, "_before")
     )
+    return _joined(written, summed, name)
 
 
 def assign_num(df: DataFrame, order_by: Sequence[Column | str]) -> DataFrame:

@@ -492,6 +492,7 @@ ORACLE: dict[str, str] = {
  ceil(n / 1000.0)::BIGINT AS pages_needed, true AS complete FROM l""",
     "stream_feature_pages": f"""WITH {FB} SELECT {_LAYER} AS layer, count(*) AS features, sum(mesure_id)::BIGINT AS sum_mesure_id, count(DISTINCT projet) AS projects FROM fb GROUP BY 1""",
     "read_copy_dump": f"WITH {FA} SELECT {', '.join(TEXTS)} FROM fa",
+    "read_dump_blocks": f"WITH {FA} SELECT mesure_id, communes, duree FROM fa",
     "decode_ewkb_points": f"""WITH {FA} SELECT projet, numero_dossier, CASE WHEN geometry IS NOT NULL THEN xi + w / 64.0::DOUBLE END AS x,
  CASE WHEN geometry IS NOT NULL THEN yi - h / 128.0::DOUBLE END AS y FROM fa""",
     "read_geojson_table": f"""WITH {FA} SELECT projet, communes, round(sum(area_m2) / 10000, 6) AS area_ha, round(sum(length_m) / 1000, 6) AS length_km FROM fa GROUP BY ALL""",

@@ -243,6 +243,19 @@ def read_copy_dump(spark, sf_dir):
     return dumps.dated(dumps.read_copy_dump(spark, _dump(spark, sf_dir))).drop("st_centroid")
 
 
+def read_dump_blocks(spark, sf_dir):
+    """One of two tables of a dump; both have as many columns."""
+
+    def write(path: str) -> None:
+        rows = first(spark, sf_dir)
+        tables = {"mesures": rows.select("mesure_id", "projet", "mo"), "lieux": rows.select("mesure_id", "communes", "duree")}
+        dumps.write_dump(tables, path, files=8)
+
+    path = _once(spark, sf_dir, "two-tables", write)
+    rows = dumps.read_copy_dump(spark, path, table="lieux")
+    return rows.withColumn("mesure_id", F.col("mesure_id").cast("bigint"))
+
+
 def decode_ewkb_points(spark, sf_dir):
     points = dumps.read_copy_dump(spark, _dump(spark, sf_dir)).select(
         "projet", "numero_dossier", dumps.decode_point(F.col("st_centroid")).alias("p")
@@ -922,7 +935,7 @@ def compare_attribute_syntax(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        scan_delivery, list_deliveries, read_feature_pages, load_feed_pages, audit_page_completeness, read_copy_dump,
+        scan_delivery, list_deliveries, read_feature_pages, load_feed_pages, audit_page_completeness, read_copy_dump, read_dump_blocks,
         decode_ewkb_points, read_geojson_table, load_overwrite, write_geojson, write_csv_report, table_profile,
         parse_pg_array, normalise_plus_arrays, rename_feed_columns, dedupe_paired_arrays, falsy_to_null,
         assign_num, fingerprint_md5, duration_label, classify_level, filter_compensation, lookup_measure,

@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymap.operators import audit, diff, spatial
-from tallymap.operators.numbering import _staged_in_order, assign_num, dense_number, running_total
+from tallymap.operators.numbering import _ordered_places, _written, assign_num, dense_number, running_total
 from tallymap.operators.skew import join_per_key, null_aware_anti
 from tallymap.plans import load
+from tallymap.session import shared_folder
 
 
 def boxes(seed, n, crowded):
@@ -252,6 +253,36 @@ def test_copies_are_numbered_once_each_and_spread(spark):
     assert tuple(got.agg(F.count_distinct("n"), F.min("n"), F.max("n")).first()) == (20_000, 1, 20_000)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        assert _staged_in_order(df, ["v", "w"]).select("_file").distinct().count() > 1
+        assert _ordered_places(_written(df), ["v", "w"]).select("_file").distinct().count() > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_rows_are_written_once_when_numbered(spark):
+    import os
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(50), "".join(rng.choices("abcdefghijklmnop", k=400))) for _ in range(5000)]
+    df = spark.createDataFrame(rows, "v int, w string").repartition(4)
+    before = {d for d, _, _ in os.walk(shared_folder(spark))}
+    got = dense_number(df, ["v", "w"], "n")
+    size = lambda d: sum(os.path.getsize(os.path.join(d, f)) for f in os.listdir(d) if f.startswith("part-"))
+    new = sorted(size(d) for d, _, _ in os.walk(shared_folder(spark)) if d not in before and os.path.basename(d).startswith(("rows", "places")))
+    assert len(new) == 2 and sum(new) <= 1.2 * new[-1]
+    assert [(r["v"], r["w"]) for r in got.orderBy("n").collect()] == sorted(rows)
+
+
+def test_dependencies_against_plain_counts(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [tuple(f"k{rng.randrange(40)}" if i == 0 else "x" for i in range(6)) + (rng.choice(["1", "2", None]), "same", None) for _ in range(400)]
+    df = spark.createDataFrame(rows, "projet string, mo string, communes string, procedure string, type string, geom_md5 string, duree string, cat string, sscat string")
+    got = {r["attribute"]: r for r in audit.check_dependencies(df, attributes=("duree", "cat", "sscat")).collect()}
+    for place, name in ((6, "duree"), (7, "cat"), (8, "sscat")):
+        values = {}
+        for r in rows:
+            values.setdefault(r[0], set()).add(r[place])
+        expected = (len(values), sum(map(len, values.values())), sum(len(v) > 1 for v in values.values()))
+        assert (got[name]["n_keys"], got[name]["n_with_attribute"], got[name]["n_broken"]) == expected

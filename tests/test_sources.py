@@ -11,6 +11,7 @@ from tallymap.operators import generalise as gen
 from tallymap.operators import stats
 from tallymap.plans import export, extract, load
 from tallymap.plans.queries import QUERIES, deliveries
+from tallymap.schema import MEASURE_TABLE
 from tallymap.session import new_path, shared_folder
 from tallymap.sources import deliveries as dl
 from tallymap.sources import dumps, exports, feed
@@ -280,7 +281,7 @@ def test_repeated_links_and_dossiers_count_as_often_as_they_stand(spark, sf_dir)
 def test_dump_with_other_columns_and_a_short_line(spark, tmp_path):
     path = tmp_path / "dump.sql"
     path.write_text("SET x = 1;\n\nCOPY public.t (a, \"b\", c) FROM stdin;\n1\t2\t3\n4\t5\n6\t\\N\tx\\ty\n\\.\n\nGRANT ALL ON t TO u;\n")
-    assert dumps.copy_columns(spark, str(path)) == ("a", "b", "c")
+    assert list(dumps.dump_tables(spark, str(path)).values()) == [("a", "b", "c")]
     assert sorted(map(tuple, dumps.read_copy_dump(spark, str(path)).collect())) == [("1", "2", "3"), ("6", None, "x\ty")]
     assert [(r["value"], r["fields"]) for r in dumps.rejected_lines(spark, str(path)).collect()] == [("4\t5", 2)]
 
@@ -348,3 +349,60 @@ def test_box_without_coordinates_is_null(spark):
     texts = ['{"type":"Point","coordinates":[]}', '{"type":"Point","coordinates":[1,2]}', '{"type":"MultiPoint","coordinates":[]}']
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(g.geometry_box(g.parse_geojson(F.col("t"))).alias("b")).collect()
     assert [r["b"] and tuple(r["b"]) for r in rows] == [None, (1.0, 2.0, 1.0, 2.0), None]
+
+
+def test_blocks_of_a_dump(spark, tmp_path):
+    """Two tables over several files and splits; what stands outside the blocks is left out, also if it looks like a row."""
+    lines, expected = ["SET x = 1;", "no\ttable\tyet"], {"t": [], "u": []}
+    for part in range(6):
+        table = "tu"[part % 2]
+        lines += ["", f"COPY {table} (a, b, \"c\") FROM stdin;"]
+        for i in range(300):
+            row = (f"{table}{part}", str(i), "COPY u (a, b, c) FROM stdin;" if i % 50 == 0 else "x" * 30)
+            lines.append("\t".join(row if i % 50 else (row[2], row[1], row[0])))
+            expected[table].append(row if i % 50 else (row[2], row[1], row[0]))
+        lines += ["COPY u (a, b, c) FROM stdin;", "only\ttwo", "none"]
+        lines += ["\\.", "outside\t1\t2", "COPYRIGHT\t1\t2"]
+    whole = tmp_path / "whole"
+    whole.mkdir()
+    for k in range(5):  # a block goes on in the next file
+        cut = slice(k * len(lines) // 5, (k + 1) * len(lines) // 5)
+        (whole / f"part{k}.sql").write_text("\n".join(lines[cut]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        for table in "tu":
+            got = sorted(map(tuple, dumps.read_copy_dump(spark, str(whole), table=table).collect()))
+            assert got == sorted(expected[table])
+            rejected = dumps.rejected_lines(spark, str(whole), table=table).collect()
+            assert sorted(r["value"] for r in rejected) == sorted(["COPY u (a, b, c) FROM stdin;", "only\ttwo", "none"] * 3)
+        assert dumps.dump_tables(spark, str(whole)) == {"t": ("a", "b", "c"), "u": ("a", "b", "c")}
+        with pytest.raises(ValueError, match="several tables"):
+            dumps.read_copy_dump(spark, str(whole))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_look_up_skips_row_groups(spark, tmp_path):
+    """Rows lie by place, so a number may be anywhere; the filters tell where it isn't."""
+    rows = spark.range(0, 200_000, 1, 4).select((F.col("id") * 7919 % 200_003).alias("num"), F.lit("x").alias("projet"))
+    shape = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in MEASURE_TABLE.fields}
+    shape |= {"num": F.col("num"), "projet": F.col("projet"), **{c: F.lit(v).alias(c) for c, v in (("source", "s"), ("delivery_date", "d"), ("georef", "direct"))}}
+    dl.write_deliveries(rows.select(*shape.values()), str(tmp_path / "table"))
+    table = dl.read_deliveries(spark, str(tmp_path / "table"))
+
+    def read(num):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            found = dl.lookup_measure(table, num).select("num", "projet")
+            n = len(found.collect())
+            leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+            return n, leaf.metrics().apply("numOutputRows").value()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+    hit, looked_at = read(7919 * 5 % 200_003)
+    assert hit == 1 and 0 < looked_at <= 60_000  # one of the four files
+    assert read(200_002 + 5)[0] == 0
+    missing = set(range(200_003)) - {i * 7919 % 200_003 for i in range(200_000)}
+    looks = [read(m) for m in missing]
+    assert all(n == 0 for n, _ in looks) and sum(rows for _, rows in looks) <= 200_000 / 2  # of 600,000; filters may err
