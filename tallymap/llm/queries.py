@@ -90,20 +90,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op5_exact_topk": """
         WITH vectors AS (
-            SELECT CAST(vec_id AS BIGINT) AS vec_id,
+            SELECT row_number() OVER () AS rid, CAST(vec_id AS BIGINT) AS vec_id,
                    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
         ), scored AS (
-            SELECT q.vec_id AS query, c.vec_id AS vec_id,
+            SELECT q.rid AS rid, q.vec_id AS query_id, c.vec_id AS vec_id,
                    CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-            FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id
+            FROM vectors q JOIN vectors c ON q.rid <> c.rid
             WHERE q.vec_id % 50 = 0
         ), ranked AS (
-            SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank, vec_id, score
+            SELECT query_id, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank, vec_id, score
             FROM scored
         )
-        SELECT query, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
 }

@@ -15,8 +15,8 @@ A vector whose highest possible score is below the k-th best lowest possible one
 The remaining segments are left out only when every query's possible members are few, or all segments are done; the
 possible members are then rescored from their whole vectors, in whole numbers, and the best of all blocks are taken.
 
-A vector that is null, or holds null or non-finite components, takes no part, nor does a row without vec_id. Rows with the
-same vec_id are one; of different vectors the least counts. Shorter vectors count as filled up with 0. Ties go to the
+A vector that is null, or holds null or non-finite components, takes no part, nor does a row without vec_id. Every other row is
+a candidate of all queries but itself, also if its vec_id is repeated; a repeated query has its own result for each row. Shorter vectors count as filled up with 0. Ties go to the
 smaller vec_id. An empty table gives no rows. Other columns are not read. Scores are exact as long as they are below 2**53.
 """
 
@@ -40,13 +40,13 @@ FEW = 16
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and its integer components."""
+    """rid (a number of the row's own), vec_id and its integer components."""
     usable = F.col("vec_id").isNotNull() & F.forall(
         "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     )
     values = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    rows = vectors.where(F.coalesce(usable, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), values.alias("v"))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = vectors.where(F.coalesce(usable, F.lit(False)))
+    return rows.select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long").alias("vec_id"), values.alias("v"))
 
 
 def _matrix(values: pd.Series) -> np.ndarray:
@@ -57,7 +57,7 @@ def _matrix(values: pd.Series) -> np.ndarray:
     return out
 
 
-_INDEX = "block long, n int, width int, ids binary, levels array<int>, vectors array<binary>, dims array<binary>, values array<binary>, rests array<binary>"
+_INDEX = "block long, n int, width int, rids binary, ids binary, levels array<int>, vectors array<binary>, dims array<binary>, values array<binary>, rests array<binary>"
 
 
 def build_index(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -65,7 +65,7 @@ def build_index(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     blocks = max(1, -(-rows.count() // block))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("vec_id")
+        group = group.sort_values("rid")
         matrix = _matrix(group["v"])
         level = np.frexp(np.abs(matrix).astype(np.float64))[1]
         vector, dim = np.nonzero(matrix)
@@ -81,10 +81,10 @@ def build_index(rows: DataFrame, block: int = BLOCK) -> DataFrame:
             out["values"].append(matrix[vector[own], dim[own]].astype(np.int64).tobytes())
             # rounded up, so that the bound holds in floating point
             out["rests"].append((np.sqrt((left**2).sum(axis=1)) * (1 + 1e-9)).tobytes())
-        head = {"block": [int(group["block"].iloc[0])], "n": [len(group)], "width": [matrix.shape[1]], "ids": [group["vec_id"].to_numpy(np.int64).tobytes()]}
+        head = {"block": [int(group["block"].iloc[0])], "n": [len(group)], "width": [matrix.shape[1]], "rids": [group["rid"].to_numpy(np.int64).tobytes()], "ids": [group["vec_id"].to_numpy(np.int64).tobytes()]}
         return pd.DataFrame(head | {k: [v] for k, v in out.items()})
 
-    keyed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    keyed = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)))
     return keyed.groupBy("block").applyInPandas(build, _INDEX)
 
 
@@ -93,24 +93,24 @@ def pack_queries(rows: DataFrame, size: int = QUERIES) -> DataFrame:
     blocks = max(1, -(-rows.count() // size))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        matrix = _matrix(group.sort_values("vec_id")["v"])
-        ids = np.sort(group["vec_id"].to_numpy(np.int64))
-        return pd.DataFrame({"qblock": [int(group["qblock"].iloc[0])], "q_ids": [ids.tobytes()], "q_width": [matrix.shape[1]], "q": [matrix.tobytes()]})
+        matrix = _matrix(group["v"])
+        rids, ids = (group[c].to_numpy(np.int64).tobytes() for c in ("rid", "vec_id"))
+        return pd.DataFrame({"qblock": [int(group["qblock"].iloc[0])], "q_rids": [rids], "q_ids": [ids], "q_width": [matrix.shape[1]], "q": [matrix.tobytes()]})
 
-    keyed = rows.withColumn("qblock", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
-    return keyed.groupBy("qblock").applyInPandas(pack, "qblock long, q_ids binary, q_width int, q binary")
+    keyed = rows.withColumn("qblock", F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(blocks)))
+    return keyed.groupBy("qblock").applyInPandas(pack, "qblock long, q_rids binary, q_ids binary, q_width int, q binary")
 
 
-def search_block(queries: np.ndarray, q_ids: np.ndarray, block: dict, top: int = TOP) -> list[tuple[int, int, int]]:
-    """(query, vec_id, score) of each query's best in a block of the index; ties to smaller vec_id."""
-    n, ids = block["n"], np.frombuffer(block["ids"], dtype=np.int64)
+def search_block(queries: np.ndarray, q_rids: np.ndarray, block: dict, top: int = TOP) -> list[tuple[int, int, int]]:
+    """(place of the query, vec_id, score) of each query's best in a block of the index; ties to smaller vec_id."""
+    n, rids, ids = block["n"], np.frombuffer(block["rids"], dtype=np.int64), np.frombuffer(block["ids"], dtype=np.int64)
     width = max(block["width"], queries.shape[1], 1)
     q = np.zeros((len(queries), width))
     q[:, : queries.shape[1]] = queries
     norm = np.sqrt((q**2).sum(axis=1)) * (1 + 1e-9)
     index_type = np.uint16 if n <= 65_536 else np.uint32
-    own = np.searchsorted(ids, q_ids)
-    own_row = np.flatnonzero((own < n) & (ids[np.minimum(own, n - 1)] == q_ids))
+    own = np.searchsorted(rids, q_rids)
+    own_row = np.flatnonzero((own < n) & (rids[np.minimum(own, n - 1)] == q_rids))
     scores = np.zeros((len(q), n))
     whole = np.zeros((n, width), dtype=np.int64)
     postings = [
@@ -135,16 +135,16 @@ def search_block(queries: np.ndarray, q_ids: np.ndarray, block: dict, top: int =
     possible[own_row, own[own_row]] = False
     found = []
     exact_q = queries.astype(np.int64)
-    for i, query in enumerate(q_ids.tolist()):
+    for i in range(len(q_rids)):
         member = np.flatnonzero(possible[i])
         exact = whole[member, : exact_q.shape[1]] @ exact_q[i]
         best = np.lexsort((ids[member], -exact))[:top]
-        found += [(query, int(ids[member[b]]), int(exact[b])) for b in best]
+        found += [(i, int(ids[member[b]]), int(exact[b])) for b in best]
     return found
 
 
 def top_products(vectors: DataFrame, every: int = EVERY, top: int = TOP, scale: int = SCALE) -> DataFrame:
-    """query, rank, vec_id and score: each query's best among all other rows."""
+    """query_id, rank, vec_id and score: each query's best among all other rows."""
     rows = write_stage(quantised(vectors, scale), "vectors")
     index = write_stage(build_index(rows), "impact-index")
     packed = write_stage(pack_queries(rows.where(F.pmod("vec_id", F.lit(every)) == 0)), "queries")
@@ -154,11 +154,12 @@ def top_products(vectors: DataFrame, every: int = EVERY, top: int = TOP, scale:
 
     def search(batch):
         for row in batch.to_pylist():
-            q_ids = np.frombuffer(row["q_ids"], dtype=np.int64)
+            q_rids, q_ids = (np.frombuffer(row[c], dtype=np.int64) for c in ("q_rids", "q_ids"))
             queries = np.frombuffer(row["q"], dtype=np.int64).reshape(len(q_ids), row["q_width"])
-            yield from search_block(queries, q_ids, row, top)
+            for i, vec_id, score in search_block(queries, q_rids, row, top):
+                yield int(q_rids[i]), int(q_ids[i]), vec_id, score
 
-    found = map_rows(met, search, "query long, vec_id long, score long")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    found = map_rows(met, search, "q_rid long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("q_rid").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    return ranked.select("query", "rank", "vec_id", "score")
+    return ranked.select("query_id", "rank", "vec_id", "score")

@@ -14,16 +14,16 @@ def frame(spark, rows):
 
 
 def plain(rows, every=50, top=5):
-    known = {}
+    known = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
         q = [math.floor(256 * float(np.float32(x))) for x in v]
-        known[i] = min(known.get(i, q), q)
+        known.append((i, q))
     out = []
-    for i, q in known.items():
+    for row, (i, q) in enumerate(known):
         if i % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, w, strict=False)), j) for j, w in known.items() if j != i)
+            scored = sorted((-sum(a * b for a, b in zip(q, w, strict=False)), j) for other, (j, w) in enumerate(known) if other != row)
             out += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scored[:top])]
     return sorted(out)
 
@@ -36,8 +36,10 @@ def test_against_all_pairs(spark, monkeypatch, block, size):
     rows = [(i, [round(draw.gauss(0, 0.3), 2) for _ in range(6)]) for i in range(240)]
     rows += [(i, rows[50][1]) for i in range(240, 300)]  # ties
     rows += [(300, None), (301, [0.1, None]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (None, [0.5] * 6), (304, []), (305, [0.2])]
-    rows += [rows[3], rows[100], (7, [9.0] * 6)]  # repeated rows, and one id with two vectors
-    got = sorted(map(tuple, topk.top_products(frame(spark, rows)).collect()))
+    rows += [rows[3], rows[100], (7, [9.0] * 6), (50, [8.0] * 6)]  # repeated rows, and ids with two vectors
+    found = topk.top_products(frame(spark, rows))
+    assert found.columns == ["query_id", "rank", "vec_id", "score"]
+    got = sorted(map(tuple, found.collect()))
     assert got == plain(rows)
 
 
@@ -55,7 +57,7 @@ def test_segments_are_left_out_only_on_proof():
     matrix = draw.integers(-3, 4, (500, 8))
     matrix[:, 0] = draw.permutation(500) * 40
     level = np.frexp(np.abs(matrix).astype(float))[1]
-    block = {"n": 500, "width": 8, "ids": np.arange(500).tobytes(), "vectors": [], "dims": [], "values": [], "rests": []}
+    block = {"n": 500, "width": 8, "rids": np.arange(500).tobytes(), "ids": np.arange(500).tobytes(), "vectors": [], "dims": [], "values": [], "rests": []}
     left = matrix.astype(float)
     for at in sorted(set(level[matrix != 0].tolist()), reverse=True):
         vector, dim = np.nonzero((level == at) & (matrix != 0))
@@ -66,7 +68,7 @@ def test_segments_are_left_out_only_on_proof():
         block["rests"].append(np.sqrt((left**2).sum(axis=1)).tobytes())
     q_ids = np.array([0, 50, 499, 1000])
     queries = matrix[[0, 50, 499, 7]]
-    got = topk.search_block(queries, q_ids, block)
+    got = [(int(q_ids[i]), v, s) for i, v, s in topk.search_block(queries, q_ids, block)]
     for i, q in zip(q_ids.tolist(), queries, strict=True):
         scored = sorted((-int(matrix[j] @ q), j) for j in range(500) if j != i)[:5]
         assert [(v, s) for a, v, s in got if a == i] == [(j, -s) for s, j in scored]
