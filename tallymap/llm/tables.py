@@ -20,6 +20,10 @@ GAP = r"[\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
 
 
+#: Bytes of one Arrow batch, unless the session says otherwise.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _shipped: set[str] = set()
 
 
@@ -31,6 +35,9 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
+    if spark.conf.get(_BATCH_CONF, None) in (None, "67108864b"):  # not set, or as Spark has it
+        # whole texts pass through Python; batches counted in rows alone can hold hundreds of megabytes
+        spark.conf.set(_BATCH_CONF, f"{BATCH_BYTES}b")
     package = Path(__file__).resolve().parents[1]
     archive = Path(tempfile.mkdtemp(prefix="py-files-")) / f"{package.name}.zip"
     with zipfile.ZipFile(archive, "w") as out:
@@ -82,6 +89,7 @@ def map_rows(df: DataFrame, rows: Callable, schema: str) -> DataFrame:
                     out = []
             if out:
                 yield _batch(out, arrow)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.mapInArrow(run, spark_schema)
 

@@ -50,7 +50,7 @@ PENALTY = 1e-4
 #: Steps of the fit, at most.
 STEPS = 80
 #: Characters worked on at once.
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 1 << 18
 _FACTORS = np.array(
     [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09], dtype=np.uint32
 )
