@@ -82,5 +82,5 @@ def test_stages_with_odd_rows_and_none(spark):
 
 def test_registered():
     names = [n for n in __spark_entry__.queries() if n == "pipeline" or n.startswith("op")]
-    assert sorted(n.split("_")[0] for n in names) == sorted(["pipeline", *(f"op{i}" for i in range(1, 11))])
+    assert sorted(n.split("_")[0] for n in names) == sorted(["pipeline", *(f"op{i}" for i in range(1, 14))])
     assert "op5_exact_topk" in __spark_entry__.oracle_sql()
