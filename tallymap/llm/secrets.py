@@ -3,8 +3,9 @@
 Base kinds are found by pattern. Beyond them, a long mixed string that follows a sensitive
 word is a candidate. Its novelty is the number of bytes it adds to the compressed size of the
 text around it, per character, with a compressor primed with identifiers of common code. Words
-and identifiers cost little there, keys cost nearly their entropy; those at or above
-``NOVELTY`` are reported as kind ``novel``.
+and identifiers cost little there, keys cost nearly their entropy. That is at most the bits of a
+symbol in the key's alphabet (4 in hex, 5 in base32, else 6), so those at or above ``NOVELTY`` of it are
+reported as kind ``novel``, however long.
 
 Everything happens within a document, so there is no shuffle and no group. A null text is
 taken as empty and has no spans; repeated rows are scanned each for itself; an empty table
@@ -23,8 +24,8 @@ from tallymap.llm.tables import map_rows
 
 KINDS = ("assign", "access", "hex", "novel")
 
-#: Bytes added per character from which a candidate is reported.
-NOVELTY = 0.7
+#: Bits added per bit of the candidate's alphabet from which it is reported: 0.7 bytes of the 0.75 that base64 has.
+NOVELTY = 0.7 / 0.75
 #: Characters of text on each side that count as surrounding code.
 AROUND = 200
 #: A candidate begins at most this many characters behind the sensitive word.
@@ -45,6 +46,8 @@ SENSITIVE = (
 )
 CONTEXT = re.compile("|".join(SENSITIVE))
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Alphabets in which a key has fewer than 6 bits a character.
+ALPHABETS = ((re.compile(r"(?:[0-9A-F]+|[0-9a-f]+)"), 4), (re.compile(r"[A-Z2-7]+=*"), 5))
 
 #: Identifiers of common code that the compressor knows beforehand. Fixed values.
 IDENTIFIERS = (
@@ -100,6 +103,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
+def alphabet_bits(found: str) -> int:
+    """Bits of a character in the smallest alphabet that holds the string."""
+    return next((bits for pattern, bits in ALPHABETS if pattern.fullmatch(found)), 6)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: float = NOVELTY) -> list[tuple[int, int, str]]:
     """Candidates in sensitive context, apart from base spans, whose novelty is high enough."""
     low = text.lower() if text.isascii() else "".join(c.lower() if c.isascii() else c for c in text)
@@ -118,7 +126,7 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: float = NO
             if not _shared:
                 _shared.append(Novelty())
             added = _shared[0].bytes_added(text[max(0, start - AROUND) : start], found, text[end : end + AROUND])
-            if added >= novelty * len(found):
+            if 8 * added >= novelty * alphabet_bits(found) * len(found):
                 spans.append((start, end, "novel"))
     return spans
 

@@ -55,3 +55,15 @@ def test_redaction_keeps_rows_and_columns(spark):
     by_id = {r["doc_id"]: r for r in done.collect()}
     assert by_id[8]["text"] == "[SECRET] and token: abc" and by_id[8]["n_chars"] == 23
     assert by_id[2]["text"] is None and by_id[2]["n_chars"] is None and by_id[5]["n_chars"] == len(by_id[5]["text"])
+
+
+def test_long_keys_of_small_alphabets_are_novel():
+    draw = random.Random(7)
+    prose = "the quick brown fox jumps over the lazy dog while rain falls on the quiet town and nobody looks up at all "
+    for letters in ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        for length in (64, 128, 256, 1000):
+            found = 0
+            for _ in range(50):
+                key = "".join(draw.choice(letters) for _ in range(length))
+                found += any(k == "novel" for _, _, k in secrets.find(f"{prose * 2}bearer {key} {prose * 2}"))
+            assert found >= 48, (letters, length, found)
