@@ -115,7 +115,7 @@ def _lower(texts: list) -> list[str]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> DataFrame:
-    """text and label (0 or 1) of the training rows."""
+    """text and label (0 or 1) of the training rows: at most ``most`` different texts of as many doc_ids, repeated rows once."""
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
         .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0))
@@ -124,8 +124,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS)
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(known), "doc_id").select("text", "label")
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(known), "doc_id")
+    texts = texts.withColumn("digest", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
+    # a doc_id may stand with many texts, so the bound holds for what the join gives, by key only
+    chosen = texts.select("doc_id", "digest").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(most)
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "digest"])
+    return rows.dropDuplicates(["doc_id", "digest"]).select("text", "label")
 
 
 def _count_features(rows: DataFrame, smoothing: float, least: int, features: int) -> tuple[int, int, pd.DataFrame]:

@@ -61,3 +61,12 @@ def test_without_both_labels_all_scores_are_the_share(spark):
     for pairs, share in (([], 0.0), ([(1, 1, 0)], 0.0), ([(i, 1, 1) for i in range(1, 9)], 1.0)):
         scores = {round(r["score"], 6) for r in toxicity.score_documents(docs, toxicity.train(docs, labelled(spark, pairs))).collect()}
         assert scores == {share}
+
+
+def test_training_rows_are_bounded_after_the_join(spark):
+    docs = spark.createDataFrame([(3, f"text {i}") for i in range(300)] + [(i, "same") for i in range(4, 40)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert toxicity.training_rows(docs, labels, 5).count() <= 5
+    rows = toxicity.training_rows(docs, labels).collect()
+    kept = [i for i in range(4, 40) if zlib.crc32(str(i).encode()) % 5]
+    assert sum(r["text"] == "same" for r in rows) == len(kept)
