@@ -15,6 +15,7 @@ from tallymap.schema import MEASURE_TABLE
 from tallymap.session import new_path, shared_folder
 from tallymap.sources import deliveries as dl
 from tallymap.sources import dumps, exports, feed
+from tallymap.streaming import pages as stream
 from tallymap.streaming.pages import stream_feature_pages
 
 DUMP = """SET default_with_oids = false;
@@ -145,6 +146,21 @@ def test_stream_takes_a_repeated_page_once_and_goes_on(spark, tmp_path):
     (layer / "4.json").write_text(page(4, 0, ["p1", "p2"]))
     stream_feature_pages(spark, path, target, progress, files_per_trigger=1).awaitTermination()
     assert sorted(r["projet"] for r in spark.read.parquet(target).collect()) == ["p1", "p2", "p3", "p4"]
+    # begun anew onto the same target: nothing is added, nothing replaced
+    stream_feature_pages(spark, path, target, str(tmp_path / "anew"), files_per_trigger=2).awaitTermination()
+    assert sorted(r["projet"] for r in spark.read.parquet(target).collect()) == ["p1", "p2", "p3", "p4"]
+
+
+def test_a_batch_reads_its_own_parts_of_the_ledger(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    for k in range(8):
+        rows = [(f"{i:02x}{k}", f"q-{k}", f"{i:02x}") for i in range(0, 256, 16)]
+        spark.createDataFrame(rows, "page_md5 string, batch string, prefix string").coalesce(1).write.mode("append").partitionBy("prefix").parquet(ledger)
+    batch = spark.createDataFrame([("103",), ("zz",)], "page_md5 string")
+    seen = stream.seen_pages(batch, ledger, "q-5")
+    assert sorted(r["page_md5"] for r in seen.collect()) == [f"10{k}" for k in range(8) if k != 5]
+    assert len(seen.select(F.input_file_name()).distinct().collect()) == 7
+    assert "PartitionFilters: [prefix" in seen._jdf.queryExecution().toString()
 
 
 # ---- delivery table ---------------------------------------------------------------------
