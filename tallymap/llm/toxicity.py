@@ -277,7 +277,8 @@ def fit_logistic(lists: list[np.ndarray], values: np.ndarray, labels: np.ndarray
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, features: int = FEATURES) -> Model:
     """Fit on the training rows of the documents."""
-    rows = training_rows(docs, labels, most)
+    # read twice, and a small part of the documents
+    rows = write_stage(training_rows(docs, labels, most), "training-rows")
     n0, n1, best = _count_features(rows, SMOOTHING, LEAST_DOCS, min(features, 1 << 15))
     buckets = best["bucket"].to_numpy(np.int64)
     if not n0 or not n1 or not len(buckets):
