@@ -5,8 +5,8 @@ for each component that isn't 0, (vector, dimension, value), in segments of equa
 absolute value), the highest impact first. For each vector and segment it also has the norm of the components that
 are still to come behind it.
 
-Queries are packed into blocks too, and each block of queries meets each block of the index through an equi-join on the
-number of the query block. The segments are processed in order; one adds to all scores of the block pair at once. By the
+Queries are packed into blocks too. Each of these is sent to each block of the index, through an equi-join on the number
+of the index block, so the index itself is shuffled once, to as many tasks as the session has for a shuffle. The segments are processed in order; one adds to all scores of the block pair at once. By the
 inequality of Cauchy and Schwarz a score is then known up to
 
     norm of the query * norm of what is still to come of the vector.
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymap.llm.tables import map_rows
+from tallymap.llm.tables import map_rows, parts
 from tallymap.session import write_stage
 
 SCALE = 256
@@ -148,9 +148,11 @@ def top_products(vectors: DataFrame, every: int = EVERY, top: int = TOP, scale:
     rows = write_stage(quantised(vectors, scale), "vectors")
     index = write_stage(build_index(rows), "impact-index")
     packed = write_stage(pack_queries(rows.where(F.pmod("vec_id", F.lit(every)) == 0)), "queries")
-    numbers = packed.agg(F.max("qblock")).first()[0]
-    spread = index.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(numbers or 0).cast("long"))))
-    met = spread.join(packed, "qblock").repartition(max(1, index.count() * ((numbers or 0) + 1)), "qblock", "block")
+    blocks = index.agg(F.max("block")).first()[0]
+    # the queries, the smaller side, go to every block of the index; the index is dealt once, to a number of tasks that doesn't grow
+    spread = packed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks or 0).cast("long"))))
+    tasks = parts(vectors.sparkSession)
+    met = spread.repartition(tasks, "block").join(index.repartition(tasks, "block").hint("merge"), "block")
 
     def search(batch):
         for row in batch.to_pylist():

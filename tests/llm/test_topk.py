@@ -51,6 +51,23 @@ def test_few_rows_and_none(spark):
     assert topk.top_products(frame(spark, [])).count() == 0
 
 
+def test_the_index_is_dealt_once(spark, monkeypatch):
+    """However many blocks there are, one Generate spreads queries, and tasks are those of the session."""
+    seen = []
+    monkeypatch.setattr(topk.build_index, "__defaults__", (10,))
+    monkeypatch.setattr(topk.pack_queries, "__defaults__", (1,))
+    map_rows = topk.map_rows
+    monkeypatch.setattr(topk, "map_rows", lambda df, *a: seen.append(df) or map_rows(df, *a))
+    rows = [(i, [float(i % 7), 1.0]) for i in range(400)]
+    assert sorted(map(tuple, topk.top_products(frame(spark, rows)).collect())) == plain(rows)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    index = next(x for x in plan.splitlines() if "postings" in x or "Relation" in x and "rests" in x)
+    above = plan[: plan.index(index)].splitlines()
+    assert sum("Generate" in x for x in plan.splitlines()) == 1 and "Generate explode" not in above[-1]
+    assert seen[0].rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "SortMergeJoin" in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_segments_are_left_out_only_on_proof():
     """With one large component the first segment decides; the result is that of all of them."""
     draw = np.random.default_rng(2)
