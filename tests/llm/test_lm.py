@@ -47,6 +47,48 @@ def test_exact_counts_and_better_than_the_base(spark):
     assert all(r["score"] <= 0 for r in got)
 
 
+def plain_scores(rows):
+    """Score of each text from exact counts brought to the middle of their level."""
+    texts = [[*words((t or "").translate(LOW)), None] for _, t in rows]
+    held = [zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2 for d, _ in rows]
+    single, both = Counter(), Counter()
+    for t, h in zip(texts, held, strict=True):
+        if not h:
+            single.update(t)
+            both.update(zip([None, *t[:-1]], t, strict=True))
+    n, v = sum(single.values()), len(single)
+
+    def read(c):
+        if not c:
+            return 0.0
+        low = 2 ** (c.bit_length() - 1)
+        return math.sqrt(low * max(2 * low - 1, 1))
+
+    out = []
+    for t in texts:
+        total = 0.0
+        for before, w in zip([None, *t[:-1]], t, strict=True):
+            p = (read(single[w]) + 1) / (n + v + 1)
+            total += math.log10((min(read(both[before, w]), read(single[before])) + lmscore.M * p) / (read(single[before]) + lmscore.M))
+        out.append(total)
+    return out
+
+
+def test_scores_are_those_of_exact_counts_when_the_filter_has_no_false_hits(spark, monkeypatch):
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, "/root/testdata/sf0.001", "documents").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = dict(zip([d for d, _ in rows], plain_scores(rows), strict=True))
+
+    def off():
+        return [abs(r["score"] - expected[r["doc_id"]]) for r in lmscore.lm_scores(docs).collect()]
+
+    usual = off()
+    assert sum(usual) < 0.03 * -sum(expected.values())  # with chance hits
+    monkeypatch.setattr(lmscore, "BITS", 256)
+    wide = off()
+    assert len(wide) == len(expected) and np.mean([x < 1e-6 for x in wide]) >= 0.99
+
+
 def test_small_chunks_and_few_frequent_tokens_change_nothing(spark, monkeypatch):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     whole = {r["doc_id"]: r for r in lmscore.lm_scores(docs).collect()}

@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 
 import numpy as np
@@ -35,6 +36,57 @@ def test_base_counts(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
+def plain_verdicts(rows):
+    """kept of each (text, lang), from references and distances worked out one by one."""
+    seen = []
+    for text, lang in rows:
+        text = text or ""
+        counts = plain_counts(text)
+        failed = counts[0] < 20 or 100 * counts[4] > 30 * counts[0]
+        of_class = [sum(map(len, re.findall(runs, text))) for runs in quality.CLASSES.values()]
+        blank = len(text) - counts[1]
+        chars = np.array([*of_class, blank, len(text) - blank - sum(of_class)]) / max(len(text), 1)
+        times = Counter(w.lower() for w in words(text))
+        common = [times[w] for w in quality.WORDS]
+        shares = np.array([*common, counts[0] - sum(common)]) / max(counts[0], 1)
+        seen.append((lang, failed, len(text), counts[0], chars, shares))
+    means = {}
+    for lang in quality.COMMON_WORDS:
+        own = [x for x in seen if x[0] == lang and not x[1]]
+        c, w = [x[4] for x in own if x[2] >= quality.LEAST_CHARS], [x[5] for x in own if x[3] >= quality.LEAST_COMMON]
+        means[lang] = np.mean(c, axis=0) if c else None, np.mean(w, axis=0) if w else None
+
+    def distance(p, q):
+        m = (p + q) / 2
+        return np.sqrt(max(0, sum(sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0) for x in (p, q)) / 2))
+
+    out = []
+    for lang, failed, chars, n, c, w in seen:
+        near = []
+        for own, k in ((c, 0), (w, 1)):
+            known = {x: m[k] for x, m in means.items() if m[k] is not None}
+            near.append(distance(own, known[lang]) if lang in known else min((distance(own, m) for m in known.values()), default=0))
+        limit = quality.WORD_LIMIT + quality.WORD_NOISE / np.sqrt(max(n, 1))
+        far = (chars >= quality.LEAST_CHARS and near[0] > quality.CHAR_LIMIT) or (n >= quality.LEAST_COMMON and near[1] > limit)
+        out.append((not failed and not far, *near))
+    return out
+
+
+def test_kept_against_a_plain_version(spark):
+    from tallymap.llm.tables import table
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    # languages that no reference has, and none
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 11 == 0, F.lit("xx")).when(F.col("doc_id") % 13 != 0, F.col("lang")))
+    rows = docs.collect()
+    expected = dict(zip([r["doc_id"] for r in rows], plain_verdicts([(r["text"], r["lang"]) for r in rows]), strict=True))
+    got = quality.quality_verdicts(docs).collect()
+    assert len(got) == len(rows) and {True, False} == {r["kept"] for r in got if not r["base_failed"]}
+    for r in got:
+        kept, of_chars, of_words = expected[r["doc_id"]]
+        assert r["kept"] == kept and abs(r["char_distance"] - of_chars) < 1e-9 and abs(r["word_distance"] - of_words) < 1e-9
+
+
 def test_repeats_and_lines(spark):
     eight = " ".join("abcdefgh")
     texts = [eight, f"{eight} {eight}", "a " * 20, f"x {eight} y {eight} z", "a\n a\na\n\n \na", "é x y z", "😀 #*$%&|<> \x1c \x0b\x0c"]

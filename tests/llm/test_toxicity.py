@@ -22,6 +22,53 @@ def test_held_out_labels_are_found_again(spark):
     assert np.mean(clean) <= 0.02
 
 
+def test_scores_against_a_plain_version(spark):
+    """Counts, selection, fit and scores from one text at a time, on one machine."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs.repartition(3), labels, features=300)
+    label = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    rows = docs.collect()
+    learned = [(label[r["doc_id"]], r["text"] or "") for r in rows if r["doc_id"] in label]
+
+    def buckets(text):
+        found, size = set(), 1 << 16
+        for a in range(0, max(len(text), 1), size):
+            assert len(text) <= size
+            for bucket, _ in toxicity._grams([text[a : a + size].lower()]):
+                found |= set(bucket.tolist())
+        return found
+
+    sets = [(y, buckets(t)) for y, t in learned]
+    n = [sum(y == k for y, _ in sets) for k in (0, 1)]
+    counts = {}
+    for y, found in sets:
+        for b in found:
+            counts.setdefault(b, [0, 0])[y] += 1
+
+    def told(c):
+        total = 0.0
+        for k in (0, 1):
+            both, rest = sum(c), sum(n) - sum(c)
+            for got, expected in ((c[k], both * n[k] / sum(n)), (n[k] - c[k], rest * n[k] / sum(n))):
+                total += got * np.log(got / expected) if got else 0.0
+        return total
+
+    offered = {b: told(c) for b, c in counts.items() if sum(c) >= toxicity.LEAST_DOCS}
+    chosen = model.buckets.tolist()
+    assert len(chosen) == 300
+    least = min(offered[b] for b in chosen)
+    assert all(v <= least + 1e-9 for b, v in offered.items() if b not in set(chosen))
+    ratio = np.array([np.log((counts[b][1] + 1) / (n[1] + 2)) - np.log((counts[b][0] + 1) / (n[0] + 2)) for b in chosen])
+    lists = [np.array([k for k, b in enumerate(chosen) if b in found], dtype=np.int64) for _, found in sets]
+    w = toxicity.fit_logistic(lists, ratio, np.array([float(y) for y, _ in sets]))
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, model).collect()}
+    for r in rows:
+        found = buckets(r["text"] or "")
+        z = w[-1] + sum(w[k] * ratio[k] for k, b in enumerate(chosen) if b in found)
+        assert abs(scored[r["doc_id"]] - 1 / (1 + np.exp(-z))) < 1e-3
+
+
 def test_n_grams_do_not_cross_texts():
     both = list(toxicity._grams(["abc", "xyz"]))
     for k, (buckets, owner) in enumerate(both):
