@@ -161,6 +161,35 @@ def test_next_best_leaves_the_largest_class_and_own_class_out():
     assert len(neardup.next_best(sample, np.array([b"a"] * 6, dtype=object), 2)) == 0
 
 
+def test_no_pair_of_a_bucket_is_lost_to_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MEMBERS", 16)
+    draw = np.random.default_rng(6)
+    rows = []
+    for key, n in ((1, 150), (2, 40), (3, 2)):
+        for i in range(n):
+            sample = np.arange(64, dtype=np.uint32)
+            sample[draw.random(64) < 0.25] = draw.integers(1 << 20, 1 << 30)
+            rows.append((key, b"%d-%d" % (key, i), b"c%d" % draw.choice(6, p=[0.6, 0.2, 0.1, 0.05, 0.03, 0.02]), sample.tobytes()))
+    given = spark.createDataFrame([(k, bytearray(t), bytearray(c), bytearray(s)) for k, t, c, s in rows], "key long, tid binary, class binary, sample binary")
+    got = neardup.class_pairs(given.select("key", "tid", "class"), given.select("tid", "sample")).collect()
+    expected = {
+        frozenset((t, u)) for k, t, c, s in rows for j, u, d, r in rows
+        if k == j and c != d and (np.frombuffer(s, np.uint32) == np.frombuffer(r, np.uint32)).mean() >= AGREE
+    }
+    assert len(expected) > 100 and {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in got} == expected
+
+
+def test_links_that_no_turn_proposes_are_found(spark, monkeypatch):
+    nothing = "a binary, b binary"
+    monkeypatch.setattr(neardup, "block_pairs", lambda members, texts, turn: spark.createDataFrame([], nothing))
+    monkeypatch.setattr(neardup, "hub_pairs", lambda members: spark.createDataFrame([], nothing))
+    texts = corpus(20)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(docs).collect()}
+    expected = plain_classes(texts)
+    assert sum(got[i] != expected[i] for i in range(len(texts))) <= 1
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 202), (202, 200)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
