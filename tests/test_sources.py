@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallymap.functions import text
 from tallymap.operators import generalise as gen
 from tallymap.operators import stats
-from tallymap.plans import export, extract, load
+from tallymap.plans import export, extract, load, queries
 from tallymap.plans.queries import QUERIES, deliveries
 from tallymap.schema import MEASURE_TABLE
 from tallymap.session import new_path, shared_folder
@@ -422,3 +422,26 @@ def test_look_up_skips_row_groups(spark, tmp_path):
     missing = set(range(200_003)) - {i * 7919 % 200_003 for i in range(200_000)}
     looks = [read(m) for m in missing]
     assert all(n == 0 for n, _ in looks) and sum(rows for _, rows in looks) <= 200_000 / 2  # of 600,000; filters may err
+
+
+def test_a_query_loads_only_the_deliveries_it_reads(spark, sf_dir):
+    own = f"{sf_dir}/."  # a folder that no other test has loaded from
+    one = queries.direct_a(spark, own)
+    root = queries._written[(spark.sparkContext.applicationId, own, "deliveries")]
+    assert [r["table_name"] for r in dl.list_deliveries(dl.read_deliveries(spark, root)).collect()] == ["mcecpii20190227direct"]
+    rows = one.count()
+    assert dl.list_deliveries(deliveries(spark, own)).count() == 4
+    assert rows > 0 and queries.direct_a(spark, own).count() == rows
+
+
+def test_pages_may_be_compressed(spark):
+    rows = [(f"emprises_{k}", i, *[f"t{i}"] * len(feed.PROPERTIES), None) for k in ("polygones", "lineaires") for i in range(25)]
+    features = spark.createDataFrame(rows, f"layer string, mesure_id long, {', '.join(f'{n} string' for n in feed.PROPERTIES)}, geometry string")
+    read = []
+    for compression in ("none", "gzip"):
+        path = new_path(spark, "compressed-pages")
+        feed.write_pages(features, path, ["mesure_id"], page_size=10, compression=compression)
+        names = {r[0].endswith(".gz") for r in spark.read.text(path).select(F.input_file_name()).distinct().collect()}
+        assert names == {compression == "gzip"}
+        read.append(sorted(map(tuple, feed.page_features(feed.read_pages(spark, path)).select("num", "layer", "mesure_id").collect())))
+    assert read[0] == read[1] and len(read[0]) == 50
