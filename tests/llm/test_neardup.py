@@ -219,3 +219,29 @@ def test_one_of_several_rows_with_one_id(spark):
     rows = [(5, a), (5, b), (3, b), (3, b), (None, a)]
     docs = spark.createDataFrame([(i, t, None, None, None, *EXTRA) for i, t in rows], SCHEMA)
     assert sorted((r["doc_id"], r["text"]) for r in keep_one_of_each(docs).collect()) == [(3, b), (5, a)]
+
+
+def test_the_last_turn_puts_out_links_that_connect_not_pairs(spark, monkeypatch):
+    """Members of one bucket, each a class of its own, all similar: links grow with the members, not their pairs."""
+    monkeypatch.setattr(neardup, "MEMBERS", 1000)
+    texts, _ = copies_of_one(60, 400, 3, 8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = (np.zeros(0, np.uint64), np.zeros(0))
+    sampled = neardup.sample_texts(docs, idf).cache()
+    members = sampled.selectExpr("tid", "explode(keys) AS key", "tid AS class")
+    held = sampled.select("tid", "sample")
+    known = {bytes(r["tid"]): r["doc_id"] for r in sampled.collect()}
+    got = [(known[bytes(r["a"])], known[bytes(r["b"])]) for r in neardup.class_links(docs, sampled, members, held, idf, 0.8).collect()]
+    words = [weights(t) for t in texts]
+    assert got and all(jaccard(words[a], words[b]) >= 0.8 for a, b in got)
+    expected = {frozenset((known[bytes(r["a"])], known[bytes(r["b"])])) for r in neardup.class_pairs(members, held).collect()}
+    expected = {p for p in expected if jaccard(*(words[i] for i in p)) >= 0.8}
+    assert len(got) < len(expected)
+
+    def classes(pairs):
+        of = list(range(len(texts)))
+        for a, b in pairs:
+            of = [of[a] if c == of[b] else c for c in of]
+        return {frozenset(i for i, c in enumerate(of) if c == k) for k in of}
+
+    assert classes(got) == classes(tuple(p) for p in expected)
