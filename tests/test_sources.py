@@ -445,3 +445,25 @@ def test_pages_may_be_compressed(spark):
         assert names == {compression == "gzip"}
         read.append(sorted(map(tuple, feed.page_features(feed.read_pages(spark, path)).select("num", "layer", "mesure_id").collect())))
     assert read[0] == read[1] and len(read[0]) == 50
+
+
+def test_a_load_makes_only_the_columns_that_are_read(spark, tmp_path, monkeypatch):
+    own = [(1, "P1", None, 2.0), (2, None, "x", None)]
+    rows = spark.createDataFrame(own, "num long, projet string, md5 string, area_m2 double")
+    placed = rows.withColumns({"source": F.lit(queries.FIRST), "delivery_date": F.lit(queries.DATE), "georef": F.lit("direct")})
+    whole = placed.withColumn("mesure_id", F.lit(None).cast("long"))
+    monkeypatch.setitem(queries.LOADED, (queries.FIRST, "direct"), lambda spark, sf_dir: whole)
+    some = ("num", "projet", "area_m2")
+    got = queries.direct_a(spark, str(tmp_path), some)
+    assert got.columns == [*some, *dl.PARTITION_COLUMNS]
+    assert sorted(tuple(r)[:3] for r in got.collect()) == [(1, "P1", 2.0), (2, None, None)]
+    files = spark.read.parquet(queries._once(spark, str(tmp_path), "deliveries-of-num-projet-area_m2", lambda path: None))
+    assert set(files.columns) == set(got.columns)  # md5 isn't written
+
+
+def test_geojson_is_written_packed_when_asked(spark, tmp_path):
+    rows = spark.createDataFrame([('{"properties":{"mesure_id":1},"geometry":null}',)], "feature string")
+    exports.write_geojson(rows, str(tmp_path / "packed"), compression="gzip")
+    exports.write_geojson(rows, str(tmp_path / "plain"))
+    assert list((tmp_path / "packed/features").glob("*.gz")) and not list((tmp_path / "plain/features").glob("*.gz"))
+    assert [r["mesure_id"] for r in exports.read_geojson(spark, str(tmp_path / "packed/features")).collect()] == [1]
