@@ -467,3 +467,42 @@ def test_geojson_is_written_packed_when_asked(spark, tmp_path):
     exports.write_geojson(rows, str(tmp_path / "plain"))
     assert list((tmp_path / "packed/features").glob("*.gz")) and not list((tmp_path / "plain/features").glob("*.gz"))
     assert [r["mesure_id"] for r in exports.read_geojson(spark, str(tmp_path / "packed/features")).collect()] == [1]
+
+
+def test_large_dumps_have_more_files(spark, tmp_path, monkeypatch):
+    """A file is sorted by one task, so files grow in number and not in size."""
+    monkeypatch.setattr(dumps, "FILE_LINES", 100)
+    rows = spark.range(600).select(F.col("id").cast("string").alias("k"), F.lit("x\ty").alias("v"))
+    path = str(tmp_path / "dump")
+    dumps.write_dump({"a": rows, "b": rows.where("id < 50").select("k", F.lit(None).cast("string").alias("w"))}, path, files=2)
+    lines = spark.read.text(path).groupBy(F.col("_metadata.file_name")).count()
+    assert lines.count() >= 6 and lines.agg(F.max("count")).first()[0] < 250
+    assert sorted(map(tuple, dumps.read_copy_dump(spark, path, table="a").collect())) == sorted((str(i), "x\ty") for i in range(600))
+    assert dumps.read_copy_dump(spark, path, table="b").count() == 50
+
+
+def test_hex_of_points_is_read_once(spark, capsys):
+    """The hex text of a coordinate goes into many pieces; it is made once for all of them."""
+    df = spark.createDataFrame([(hex_point(-1.5, 2.0**-1040, 4326),), (hex_point(0.0, -1e300),), (None,)], "w string")
+    decoded = df.select(dumps.decode_point(F.col("w")).alias("p"))
+    decoded.explain(True)
+    assert capsys.readouterr().out.split("== Analyzed")[1].split("== Optimized")[0].count("upper(") == 1
+    assert [tuple(r[0]) if r[0] else None for r in decoded.collect()] == [(-1.5, 2.0**-1040, 4326), (0.0, -1e300, None), None]
+    numbers = spark.createDataFrame([(1.0, -0.75), (0.0, 123456.5), (2.0**40, -3.0)], "x double, y double")
+    encoded = numbers.select("x", "y", dumps.encode_point(F.col("x"), F.col("y")).alias("w"))
+    assert [r["w"] for r in encoded.collect()] == [hex_point(x, y) for x, y in ((1.0, -0.75), (0.0, 123456.5), (2.0**40, -3.0))]
+
+
+def test_replaced_delivery_is_loaded_once(spark, monkeypatch):
+    """Both contents of the first write come from one load, and only audited columns are written of broken and repeated shapes."""
+    written = []
+    real = dl.write_deliveries
+    monkeypatch.setattr(dl, "write_deliveries", lambda df, root: (written.append(df), real(df, root)))
+    rows = QUERIES["load_overwrite"](spark, "/root/testdata/sf0.001")
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 0 and plan.count("Generate") == 1
+    own = dict(rows.groupBy("source").count().collect())
+    loaded = dict(deliveries(spark, "/root/testdata/sf0.001").where("georef = 'direct'").groupBy("source").count().collect())
+    assert own == loaded
+    assert set(queries.broken_shapes(spark, "/root/testdata/sf0.001").columns) == set(queries.BROKEN)
+    assert not {"signature", "n_points", "geom_type"} & set(queries.audited(spark, "/root/testdata/sf0.001").columns)
