@@ -286,3 +286,62 @@ def test_dependencies_against_plain_counts(spark):
             values.setdefault(r[0], set()).add(r[place])
         expected = (len(values), sum(map(len, values.values())), sum(len(v) > 1 for v in values.values()))
         assert (got[name]["n_keys"], got[name]["n_with_attribute"], got[name]["n_broken"]) == expected
+
+
+def ring(*corners):
+    return [{"x": float(x), "y": float(y)} for x, y in corners]
+
+
+def shaped(spark, rings_by_id):
+    from tallymap.schema import GEOM
+
+    rows = [(k, {"type": "MultiPolygon", "parts": [{"member": 0, "member_type": "MultiPolygon", "kind": "A", "rings": r} for r in parts]}) for k, parts in rings_by_id.items()]
+    return spark.createDataFrame(rows, f"geom_md5 string, geom {GEOM.simpleString()}")
+
+
+def test_short_rings_are_compared_in_their_row(spark):
+    import random
+
+    rng = random.Random(5)
+    shapes = {}
+    for i in range(150):
+        corners = [(rng.randrange(7), rng.randrange(7)) for _ in range(rng.randrange(3, 9))]
+        shapes[f"s{i}"] = [[ring(*corners, *([corners[0]] if i % 3 else []))]]
+    df = shaped(spark, shapes)
+    by_grid = {r[0] for r in audit.self_crossing_shapes(audit.ring_edges(df, "geom_md5")).collect()}
+    in_row = {r[0] for r in df.where(audit.crosses_within(F.col("geom"))).select("geom_md5").collect()}
+    assert in_row == by_grid and 0 < len(in_row) < len(shapes)
+
+
+def test_long_rings_and_copies_are_counted(spark):
+    n = audit.FEW_EDGES + 8
+    round_ = [(i, i * i) for i in range(n)]
+    crossed = [*round_[:5], (n, -5), (n + 1, n * n), *round_[5:]]
+    shapes = {"long": [[ring(*round_, round_[0])]], "crossed": [[ring(*crossed, crossed[0])]], "both": [[ring(*crossed, crossed[0])], [ring((-9, -9), (-5, -5), (-5, -9), (-9, -5), (-9, -9))]]}
+    df = shaped(spark, shapes)
+    by_grid = audit.self_crossing_shapes(audit.ring_edges(df, "geom_md5")).count()
+    counted = {r["rule"]: r["violations"] for r in audit.audit_validity(df.unionByName(df)).collect()}
+    assert counted["self_crossing"] == 2 * by_grid == 4
+
+
+def test_short_rings_apart_are_not_shuffled(spark):
+    import glob
+
+    folder = shared_folder(spark)
+    squares = {f"q{i}": [[ring((i, 0), (i + 1, 0), (i + 1, 1), (i, 1), (i, 0))], [ring((i, 9), (i + 1, 9), (i, 8), (i, 9))]] for i in range(20)}
+    before = set(glob.glob(f"{folder}/tallymap/*/*"))
+    counted = {r["rule"]: r["violations"] for r in audit.audit_validity(shaped(spark, squares)).collect()}
+    new = [d for d in set(glob.glob(f"{folder}/tallymap/*/*")) - before if "/edges-" in d or "/several-rings-" in d]
+    assert new and sum(spark.read.parquet(d).count() for d in new) == 0
+    assert set(counted.values()) == {0}
+
+
+def test_thin_cells_are_not_cut(spark):
+    """Without a crowded cell boxes are shuffled once, to their cells."""
+    df = frame(spark, boxes(4, 200, False))
+    thin = spatial.meeting_pairs(df, df, 10.0, keep=["k"])
+    cut = spatial.meeting_pairs(df, df, 10.0, keep=["k"], block=1)
+    plan = lambda pairs: pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "_blocks_" not in plan(thin) and "_blocks_" in plan(cut)
+    found = sorted((r["a_k"], r["b_k"]) for r in thin.collect())
+    assert found == sorted((r["a_k"], r["b_k"]) for r in cut.collect()) and found
