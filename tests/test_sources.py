@@ -11,7 +11,7 @@ from tallymap.operators import generalise as gen
 from tallymap.operators import stats
 from tallymap.plans import export, extract, load, queries
 from tallymap.plans.queries import QUERIES, deliveries
-from tallymap.schema import MEASURE_TABLE
+from tallymap.schema import MEASURE_TABLE, TEXT_ATTRIBUTES
 from tallymap.session import new_path, shared_folder
 from tallymap.sources import deliveries as dl
 from tallymap.sources import dumps, exports, feed
@@ -506,3 +506,26 @@ def test_replaced_delivery_is_loaded_once(spark, monkeypatch):
     assert own == loaded
     assert set(queries.broken_shapes(spark, "/root/testdata/sf0.001").columns) == set(queries.BROKEN)
     assert not {"signature", "n_points", "geom_type"} & set(queries.audited(spark, "/root/testdata/sf0.001").columns)
+
+
+def test_what_is_shown_without_elements_needs_no_written_parts(spark, monkeypatch):
+    shapes = [
+        None, "no shape", '{"type":"Polygon","coordinates":[]}', '{"type":"GeometryCollection","geometries":[]}',
+        '{"type":"Point","coordinates":[400000,6500000]}', '{"type":"LineString","coordinates":[[400000,6500000],[430000,6520000]]}',
+        '{"type":"Polygon","coordinates":[[[400000,6500000],[402000,6500000],[402000,6501000],[400000,6500000]]]}',
+        '{"type":"MultiPoint","coordinates":[[400000,6500000],[430000,6520000]]}',
+    ]
+    rows = spark.createDataFrame(
+        [(i if i else None, *["2019-02-27" if c == "date_decision" else "{a}" for c in TEXT_ATTRIBUTES], t) for i, t in enumerate(shapes * 2)],
+        f"mesure_id long, {', '.join(f'{c} string' for c in TEXT_ATTRIBUTES)}, geometry string",
+    )
+    monkeypatch.setattr(queries.st, "sample", lambda *_: rows)
+    found = []
+    for folder, whole in (("narrow rows", False), ("whole rows", True)):
+        if whole:
+            queries.wide(spark, folder)
+        found.append([sorted(map(str, q(spark, folder).collect())) for q in (queries.generalise_gate, queries.generalise_single)])
+        names = {n: path for (app, of, n), path in queries._written.items() if of == folder and app == spark.sparkContext.applicationId}
+        assert list(names) == ["wide"] if whole else "wide" not in names
+        assert ("geom" in spark.read.parquet(*names.values()).columns) == whole
+    assert found[0] == found[1] and len(found[0][0]) == 7 * len(shapes) * 2 and found[0][1]
