@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tallymap.llm import pages
@@ -98,6 +99,65 @@ def test_repeats_of_a_host_in_parts_are_those_of_the_whole_host(spark, monkeypat
     assert {r["page_id"]: r["text"] for r in pages.main_texts(frame(spark, rows)).collect()} == expected
 
 
+NOTE = "<p>all that is written here may be copied by all who name us</p>"
+
+
+def test_boilerplate_inside_articles_goes_and_copies_stay_whole(spark, monkeypatch):
+    def article(i):
+        return " ".join(f"n{i}x{k}" for k in range(30))
+
+    rows = [(i, f"http://h.example/{i}", f"<article><p>{article(i)}</p>{NOTE}</article>") for i in range(6)]
+    rows += [(10 + i, f"http://h.example/c{i}", f"<main><p>{article(99)}</p>{NOTE}<p>{'again ' * i}</p></main>") for i in range(3)]  # near copies
+    rows += [(20, "http://other.example/", f"<article><p>{article(20)}</p>{NOTE}</article>")]
+    note = "all that is written here may be copied by all who name us"
+    expected = {i: article(i) for i in range(6)} | {10 + i: "\n".join([article(99), note] + [" ".join(["again"] * i)] * (i > 0)) for i in range(3)}
+    expected[20] = article(20) + "\n" + note
+    assert {r["page_id"]: r["text"] for r in pages.main_texts(frame(spark, rows)).collect()} == expected
+    monkeypatch.setattr(pages, "GROUP_BYTES", 300)
+    assert {r["page_id"]: r["text"] for r in pages.main_texts(frame(spark, rows)).collect()} == expected
+
+
+def plain_texts(rows, run):
+    """page_id and text by comparing all substrings of all pages of a host."""
+    out = {}
+    for host in {url.split("/")[2] for _, url, _ in rows}:
+        own = [(i, pages.blocks(html)) for i, url, html in rows if url.split("/")[2] == host]
+        streams = sorted({tuple(w for _, words in page for w in words) for _, page in own})
+        covers = dict(zip(streams, plain_repeated(streams, run), strict=True))
+        for i, page in own:
+            cover, lines, cut = list(covers[tuple(w for _, words in page for w in words)]), [], []
+            for zone, words in page:
+                cut.append((zone, words, [cover.pop(0) for _ in words]))
+            main = [x for zone, _, gone in cut if zone == pages.MAIN for x in gone]
+            for zone, words, gone in cut:
+                if zone == pages.MAIN and (sum(main) > len(main) / 2 or not all(gone)):
+                    lines.append(" ".join(words))
+                if zone == pages.OPEN and not main and not all(gone):
+                    lines.append(" ".join(w for w, x in zip(words, gone, strict=True) if not x))
+            out[i] = "\n".join(lines)
+    return out
+
+
+def test_texts_are_those_of_all_substrings(spark, monkeypatch):
+    draw = random.Random(8)
+
+    def block():
+        words = " ".join(draw.choice(["a", "b", "c", "d", "e"]) for _ in range(draw.randint(1, 12)))
+        return draw.choice(["<p>{}</p>", "<div>{}</div>", "<nav>{}</nav>"]).format(words)
+
+    rows = []
+    for i in range(150):
+        inside = "".join(block() for _ in range(draw.randint(0, 4)))
+        html = draw.choice(["{}", "<article>{}</article>", "<nav>{}</nav>"]).format(inside) + block() * draw.randint(0, 1)
+        rows.append((i, f"http://h{i % 3}.example/{i}", html))
+    expected = plain_texts(rows, 5)
+    by_markup = {i: pages.extract([html])[0] for i, _, html in rows}
+    assert sum(by_markup[i] != expected[i] for i, _, html in rows if "<article>" in html) > 3
+    for size in (pages.GROUP_BYTES, 200):
+        monkeypatch.setattr(pages, "GROUP_BYTES", size)
+        assert {r["page_id"]: r["text"] for r in pages.main_texts(frame(spark, rows), 5).collect()} == expected
+
+
 def test_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(pages, "GROUP_BYTES", 2000)
     long = "<article>" + "".join(f"<p>w{i} x</p>" for i in range(20_000)) + "</article>"
@@ -109,3 +169,11 @@ def test_odd_rows(spark, monkeypatch):
     assert by_id[1]["text"] == "a" and by_id[2]["text"] == "" and by_id[2]["n_chars"] == 0
     assert by_id[4]["text"] == "\n".join(f"w{i} x" for i in range(20_000))
     assert pages.page_texts(frame(spark, [])).count() == 0
+
+
+def test_numbers_by_gaps():
+    draw = random.Random(2)
+    for top in (1, 10, 300, 10**6, 2**64):
+        for n in (1, 2, 50):
+            given = np.unique(np.array([draw.randrange(top) for _ in range(n)], dtype=np.uint64))
+            assert pages._numbers(pages._gaps(given)).tolist() == given.tolist()
