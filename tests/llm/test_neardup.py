@@ -100,6 +100,20 @@ def test_common_shingles_weigh_less(spark):
     assert len(key) == 1 and abs(idf[0] - math.log(2) / math.log(4)) < 1e-12
 
 
+@pytest.mark.parametrize("common", [3, 20])
+def test_common_shingles_are_those_of_a_count_of_all(spark, common):
+    draw = random.Random(common)
+    passages = [" ".join(f"p{k}x{i}" for i in range(8)) for k in range(12)]
+    rows = [" ".join([f"u{i}x{j}" for j in range(9)] + [p for k, p in enumerate(passages) if draw.random() < k / 12]) for i in range(200)]
+    every = [neardup._shingles([t.encode()])[1] for t in rows]
+    key, df = np.unique(np.concatenate(every), return_counts=True)
+    idf = np.minimum(1, np.log1p(len(rows) / df) / np.log1p(common))
+    frame = spark.createDataFrame([(t,) for t in sorted(rows, key=len)], "text string").repartitionByRange(5, "text")  # tasks differ
+    found, weight = common_shingles(frame, common)
+    assert found.tolist() == key[idf < 1].tolist() and len(found) > 30
+    assert np.allclose(weight, idf[idf < 1], rtol=1e-12)
+
+
 def test_tree_links_all_that_agree():
     draw = np.random.default_rng(4)
     centre = draw.integers(0, 1 << 32, 64, dtype=np.uint32)
