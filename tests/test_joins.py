@@ -258,6 +258,27 @@ def test_copies_are_numbered_once_each_and_spread(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_order_columns_behind_the_first_decide_where_these_are_equal(spark):
+    import random
+
+    from tallymap.operators import numbering
+
+    rng = random.Random(4)
+    some = [None, "a", "b"]
+    rows = [(rng.choice([None, *range(60)]), rng.choice(some), rng.choice(some), rng.choice(some), i) for i in range(400)]
+    rows += [(1000 + i, f"x{i}", "long" * 50, "y", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "a int, b string, c string, d string, id int").repartition(5)
+    got = [tuple(r)[:5] for r in dense_number(df, ["a", "b", "c", "d", "id"], "n").orderBy("n").collect()]
+    assert got == sorted(rows, key=lambda r: [(x is not None, x) for x in r])
+    keyed = numbering._apart(df.select(*(F.col(c).alias(f"_o{i}") for i, c in enumerate("abcd")), "id"), ["_o0", "_o1", "_o2", "_o3"])
+    left = {r["id"]: r["_rest"] for r in keyed.where("_o0 >= 1000").collect()}
+    assert set(left.values()) == {None} and len(left) == 400
+    numbered, groups = numbering.number_by_group(df, "b", ["a", "c", "d", "id"], "n")
+    for r in groups.where("b IS NULL OR b < 'c'").collect():
+        own = [x["n"] for x in numbered.where(F.col("b").eqNullSafe(F.lit(r["b"]))).collect()]
+        assert (min(own), max(own), len(own)) == (r["_shift"] + 1, r["_shift"] + r["_total"], r["_total"])
+
+
 def test_rows_are_written_once_when_numbered(spark):
     import os
     import random
