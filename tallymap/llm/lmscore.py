@@ -43,6 +43,9 @@ PROBES = 5
 BROADCAST_BYTES = 1 << 27
 #: Weight of the single word's probability, in counts.
 M = 8.0
+#: Bytes of token hashes that are looked up at once in a slice, and texts that are scored at once.
+PROBED_BYTES = 1 << 20
+SCORED_ROWS = 200
 #: Text of a chunk; it also has at most 65,535 documents.
 CHUNK_BYTES = 6 << 20
 
@@ -298,6 +301,15 @@ class LogFilter:
     def counts(self, keys: np.ndarray, salt: np.uint64) -> np.ndarray:
         return middle(self.levels(keys, salt))
 
+    def levels_of_all(self, keys: np.ndarray, salt: np.uint64) -> np.ndarray:
+        """As ``levels``, for keys of which many may be of other ranges or repeat: each key of these ranges is looked up once."""
+        found = np.zeros(len(keys), dtype=np.uint8)
+        of_range = _range(keys, self.ranges) - self.first
+        own = np.flatnonzero((of_range >= 0) & (of_range < len(self.start)))
+        different, place = np.unique(keys[own], return_inverse=True)
+        found[own] = self.levels(different, salt)[place]
+        return found
+
     def levels(self, keys: np.ndarray, salt: np.uint64) -> np.ndarray:
         """The level found for each key; 0 for those of other ranges."""
         found = np.zeros(len(keys), dtype=np.uint8)
@@ -472,10 +484,14 @@ def _scored_by_slices(given: DataFrame, cuts: list[tuple], of_texts) -> DataFram
         del model
 
         def probe(batch, held=held):
-            for d, h, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                own = np.frombuffer(own, np.uint64)
-                levels = np.concatenate([held.value.levels(own, _ONE), held.value.levels(_pairs(own, np.array([0, len(own)])), _TWO)])
-                yield d, h, len(own), np.packbits(levels > 0).tobytes(), levels[levels > 0].tobytes()
+            ids, hashes, every = (batch.column(i).to_pylist() for i in range(3))
+            for a, b in slices(every, PROBED_BYTES):  # many short texts are looked up at once
+                own, first = np.frombuffer(b"".join(every[a:b]), np.uint64), np.cumsum([0] + [len(x) // 8 for x in every[a:b]])
+                single, both = held.value.levels_of_all(own, _ONE), held.value.levels_of_all(_pairs(own, first), _TWO)
+                for i, x, y in zip(range(a, b), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    levels = np.concatenate([single[x:y], both[x:y]])
+                    there = levels > 0
+                    yield ids[i], hashes[i], y - x, np.packbits(there).tobytes(), levels[there].tobytes()
 
         part = write_stage(map_rows(tokens, probe, "d long, h long, n long, mark binary, levels binary"), f"levels-{k}")
         held.destroy()
@@ -488,12 +504,19 @@ def _scored_by_slices(given: DataFrame, cuts: list[tuple], of_texts) -> DataFram
     every = every.groupBy("d", "h", "n").agg(*own)
 
     def score(batch):
-        for d, h, n, *own in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-            levels = np.zeros(2 * n, dtype=np.uint8)
-            for x in own:
-                marked = np.unpackbits(np.frombuffer(x["mark"], np.uint8), count=2 * n).astype(bool)
-                levels[marked] = np.frombuffer(x["levels"], np.uint8)
-            counts = middle(levels)
-            yield d, h, of_texts(counts[:n], counts[n:], ends, np.array([0, n]))[0]
+        rows = list(zip(*(column.to_pylist() for column in batch.columns), strict=True))
+        for at in range(0, len(rows), SCORED_ROWS):
+            some = rows[at : at + SCORED_ROWS]
+            singles, pairs = [], []
+            for _, _, n, *own in some:
+                levels = np.zeros(2 * n, dtype=np.uint8)
+                for x in own:
+                    marked = np.unpackbits(np.frombuffer(x["mark"], np.uint8), count=2 * n).astype(bool)
+                    levels[marked] = np.frombuffer(x["levels"], np.uint8)
+                singles.append(levels[:n])
+                pairs.append(levels[n:])
+            first = np.cumsum([0] + [len(x) for x in singles])
+            scores = of_texts(middle(np.concatenate(singles)), middle(np.concatenate(pairs)), ends, first)
+            yield from ((d, h, score) for (d, h, *_), score in zip(some, scores, strict=True))
 
     return map_rows(every, score, "d long, h long, score double")

@@ -152,3 +152,25 @@ def test_odd_rows(spark):
     alone = odd_documents(spark).where("doc_id = 1").withColumn("doc_id", F.lit(only_held))
     row = lmscore.lm_scores(alone).first()
     assert row["train_tokens"] == 0 and row["n_known"] == 0 and row["base_score"] == 0 and math.isfinite(row["score"])
+
+
+def test_levels_of_many_texts_are_looked_up_at_once():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 64, 400, dtype=np.uint64))
+    own = (keys >> np.uint64(63)).astype(np.int64)  # of two ranges
+    counts = rng.integers(1, 5000, len(keys))
+    segments = [lmscore.fill_segment([(keys[own == r], counts[own == r], lmscore._ONE)], lmscore.BITS).tobytes() for r in range(2)]
+    asked = rng.choice(np.concatenate([keys, rng.integers(0, 1 << 64, 300, dtype=np.uint64)]), 5000)
+    looked_up = []
+
+    class Counted(lmscore.LogFilter):
+        def levels(self, keys, salt):
+            looked_up.append(len(keys))
+            return super().levels(keys, salt)
+
+    parts = [Counted(segments[r : r + 1], r, 2) for r in range(2)]
+    found = [part.levels_of_all(asked, lmscore._ONE) for part in parts]
+    assert sum(looked_up) == len(np.unique(asked)) and len(looked_up) == 2
+    for part, levels in zip(parts, found, strict=True):
+        assert levels.tolist() == lmscore.LogFilter.levels(part, asked, lmscore._ONE).tolist()
+    assert np.maximum(*found).tolist() == lmscore.LogFilter(segments).levels(asked, lmscore._ONE).tolist()
