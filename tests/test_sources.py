@@ -151,6 +151,16 @@ def test_stream_takes_a_repeated_page_once_and_goes_on(spark, tmp_path):
     assert sorted(r["projet"] for r in spark.read.parquet(target).collect()) == ["p1", "p2", "p3", "p4"]
 
 
+def test_streamed_features_are_written_packed(spark, tmp_path):
+    layer = tmp_path / "in" / "layer=emprises_commune"
+    layer.mkdir(parents=True)
+    (layer / "1.json").write_text(page(2, 0, ["p1", "p2"]))
+    target = str(tmp_path / "out")
+    stream_feature_pages(spark, str(tmp_path / "in"), target, str(tmp_path / "progress")).awaitTermination()
+    names = [r[0] for r in spark.read.parquet(target).select(F.input_file_name()).distinct().collect()]
+    assert names and all(n.endswith(".zstd.parquet") for n in names)
+
+
 def test_a_batch_reads_its_own_parts_of_the_ledger(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
     for k in range(8):
